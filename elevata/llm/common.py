@@ -118,11 +118,28 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(4096)], np.uint64)
+_BLOCK = 1 << 18
+_BASE = 0xD6E8FEB86659FD93
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_tables: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for one block of positions."""
+    if not _tables:
+        for base in (_BASE, _BASE_INVERSE):
+            out = np.ones(_BLOCK, np.uint64)
+            n = 1
+            while n < _BLOCK:
+                out[n: 2 * n] = out[:n] * np.uint64(pow(base, n, 1 << 64))
+                n *= 2
+            _tables.append(out)
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Finalising mixer of 64-bit values."""
+    """Finalising mixer of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     x = x ^ (x >> np.uint64(29))
@@ -130,22 +147,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Hashes:
+    """Hashes of any byte span, from one prefix sum of a polynomial mod 2**64.
+
+    Equal bytes have equal hashes wherever they stand, in any buffer.
+    """
+
+    def __init__(self, raw: np.ndarray):
+        powers, _ = _powers()
+        n = len(raw)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        carry = np.uint64(0)
+        self.inverse = np.array([pow(_BASE_INVERSE, i, 1 << 64) for i in range(0, n + 1, _BLOCK)], np.uint64)
+        with np.errstate(over="ignore"):
+            for at in range(0, n, _BLOCK):
+                values = _BYTE[raw[at: at + _BLOCK]]
+                values *= powers[: len(values)]
+                values *= np.uint64(pow(_BASE, at, 1 << 64))
+                np.cumsum(values, out=values)
+                values += carry
+                self.prefix[at + 1: at + 1 + len(values)] = values
+                carry = values[-1]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = self.prefix[ends] - self.prefix[starts]
+        h *= _powers()[1][starts & (_BLOCK - 1)]
+        h *= self.inverse[starts >> 18]
+        return mix(h + (ends - starts).astype(np.uint64) * _MULT)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each (sorted, disjoint) byte span."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=first[1:])
-    total = int(lengths.sum())
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    at = np.repeat(starts, lengths) + within
-    powers = _POW[within & 4095]
-    high = within >> 12
-    if high.any():  # spans over 4096 bytes: a further multiplier per block
-        powers = powers * mix(high.astype(np.uint64) + np.uint64(1))
-    values = (raw[at].astype(np.uint64) + np.uint64(1)) * powers
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _MULT)
+    """64-bit hash of each byte span."""
+    return Hashes(raw).of(starts, ends)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
