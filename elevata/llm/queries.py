@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .ngram_join import op3_ngram_join
 from .quality import op8_quality
 
 QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
