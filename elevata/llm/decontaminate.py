@@ -355,15 +355,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     return out
 
 
-def without_spans(text: str | None, runs: list[list[int]]) -> str | None:
-    """A text without its removal spans."""
-    if not runs or text is None:
-        return text
-    raw, at, kept = text.encode(), 0, []
-    for _, _, a, b in runs:
-        kept.append(raw[at:a])
-        at = b
-    return b"".join([*kept, raw[at:]]).decode()
+def remove_spans(found: DataFrame, text_col: str = "text", spans_col: str = "removal_spans") -> DataFrame:
+    """``found`` with the removal spans cut out of the texts."""
+    raw, cuts = F.col(text_col).cast("binary"), F.col(spans_col)
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda s: F.get(s, F.lit(3))))
+    ends = F.concat(F.transform(cuts, lambda s: F.get(s, F.lit(2))), F.array(F.octet_length(text_col).cast("long")))
+    kept = F.zip_with(starts, ends, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    return found.withColumn(text_col, F.when(F.size(cuts) > 0, F.array_join(kept, "")).otherwise(F.col(text_col)))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

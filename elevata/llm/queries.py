@@ -7,13 +7,15 @@ from .decontaminate import op6_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import op3_ngram_join
 from .quality import op8_quality
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op3_ngram_join": op3_ngram_join,
+    "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES = {"op9_line_dedup": OP9_SQL}
+ORACLES = {"op5_warc": OP5_SQL, "op9_line_dedup": OP9_SQL}
