@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_ann
 from .bpe import op10_bpe
 from .decontaminate import op6_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op7_ann": op7_ann,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
