@@ -9,10 +9,12 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import op3_ngram_join
 from .pii import op1_pii
 from .quality import op8_quality
+from .suffix_dedup import op2_suffix_dedup
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
