@@ -151,7 +151,9 @@ def _dealt_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 some, local = np.unique(own[cuts[b]: cuts[b + 1]], return_inverse=True)
                 tokens.append(_blob(token[cuts[b]: cuts[b + 1]]))
                 owners.append(local.astype(own.dtype).tobytes())
-                names.append(cls[some].tobytes() + n[first][some].astype(np.uint32).tobytes())
+                names.append(cls[some].tobytes())
+                if 8 * len(some) + own.itemsize * len(local) > 8 * len(local):  # shorter without numbers
+                    owners[-1], names[-1] = b"", cls[own[cuts[b]: cuts[b + 1]]].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array(tokens, pa.binary()), pa.array(owners, pa.binary()), pa.array(names, pa.binary())], names=["bucket", "tokens", "owners", "names"])
 
     return docs.select("text").mapInArrow(run, "bucket int, tokens binary, owners binary, names binary")
@@ -162,45 +164,59 @@ def _shared_tokens(dealt: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        token, cls, size = [], [], []
+        token, cls = [], []
         for batch in batches:
             for t, o, m in zip(*(batch.column(c).to_pylist() for c in ("tokens", "owners", "names")), strict=True):
-                t = _unblob(t)
-                own = np.frombuffer(o, np.uint16 if len(o) == 2 * len(t) else np.uint32)
-                half = len(m) // 12
-                token.append(t)
-                cls.append(np.frombuffer(m, np.uint64, half)[own])
-                size.append(np.frombuffer(m, np.uint32, half, 8 * half)[own])
+                token.append(_unblob(t))
+                cls.append(np.frombuffer(m, np.uint64))
+                if o:
+                    cls[-1] = cls[-1][np.frombuffer(o, np.uint16 if len(o) == 2 * len(token[-1]) else np.uint32)]
         if not token:
             return
-        token, cls, size = np.concatenate(token), np.concatenate(cls), np.concatenate(size)
+        token, cls = np.concatenate(token), np.concatenate(cls)
         order = np.argsort(token)
         sorted_token = token[order]
         twice = np.zeros(len(order), bool)
         twice[1:] = sorted_token[1:] == sorted_token[:-1]
         twice[:-1] |= twice[1:].copy()
         order = order[twice]
-        token, cls, size = token[order], cls[order], size[order]
+        token, cls = token[order], cls[order]
         order = np.lexsort((cls, token))
-        token, cls, size = token[order], cls[order], size[order]
+        token, cls = token[order], cls[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, size = token[new], cls[new], size[new]
+        token, cls = token[new], cls[new]
         start = np.ones(len(token), bool)
         start[1:] = token[1:] != token[:-1]
         counts = np.diff(np.append(np.flatnonzero(start), len(token)))
         count = np.repeat(counts, counts).astype(np.uint32)
         keep = count > 1
-        token, cls, size, count = token[keep], cls[keep], size[keep], count[keep]
+        token, cls, count = token[keep], cls[keep], count[keep]
         to = cls % np.uint64(buckets)
         order = np.argsort(to, kind="stable")
-        token, cls, size, count, to = token[order], cls[order], size[order], count[order], to[order]
+        token, cls, count, to = token[order], cls[order], count[order], to[order]
         cuts = np.searchsorted(to, np.arange(buckets + 1).astype(np.uint64))
         use = np.flatnonzero(np.diff(cuts))
         each = lambda x: pa.array([x[cuts[b]: cuts[b + 1]].tobytes() for b in use], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), each(token), each(cls), each(size), each(count)], names=["bucket", "tokens", "classes", "sizes", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), each(token), each(cls), each(count)], names=["bucket", "tokens", "classes", "counts"])
 
-    return dealt.mapInArrow(run, "bucket int, tokens binary, classes binary, sizes binary, counts binary")
+    return dealt.mapInArrow(run, "bucket int, tokens binary, classes binary, counts binary")
+
+
+def _dealt_sizes(rows: DataFrame, buckets: int) -> DataFrame:
+    """Classes and set sizes, dealt out by class like shared tokens."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            cls, first = np.unique(batch.column("cls").to_numpy().view(np.uint64), return_index=True)
+            size = batch.column("n_shingles").to_numpy()[first].astype(np.uint64)
+            cls, size = cls[size > 0], size[size > 0]
+            to = cls % np.uint64(buckets)
+            each = [(b, to == b) for b in np.unique(to)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(b) for b, _ in each], pa.int32()), pa.array([size[m].tobytes() for _, m in each], pa.binary()), pa.array([cls[m].tobytes() for _, m in each], pa.binary()), pa.array([b""] * len(each), pa.binary())], names=["bucket", "tokens", "classes", "counts"])
+
+    return rows.select("cls", "n_shingles").mapInArrow(run, "bucket int, tokens binary, classes binary, counts binary")
 
 
 def _candidates(shared: DataFrame, percent: int) -> DataFrame:
@@ -208,18 +224,23 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], []]
+        known: list[list[np.ndarray]] = [[], []]
         for batch in batches:
-            for c, kind, part in zip(("tokens", "classes", "sizes", "counts"), (np.uint64, np.uint64, np.uint32, np.uint32), parts, strict=True):
-                part += [np.frombuffer(b, kind) for b in batch.column(c).to_pylist()]
+            for t, c, n in zip(*(batch.column(c).to_pylist() for c in ("tokens", "classes", "counts")), strict=True):
+                for part, x, kind in zip(parts if n else known, (t, c, n), (np.uint64, np.uint64, np.uint32), strict=False):
+                    part.append(np.frombuffer(x, kind))
         if not parts[0]:
             return
-        token, cls, size, count = (np.concatenate(p) for p in parts)
+        token, cls, count = (np.concatenate(p) for p in parts)
+        size, named = (np.concatenate(p) for p in known)
+        named, first = np.unique(named, return_index=True)
+        size = size[first].astype(np.int64)
         order = np.lexsort((token, count, cls))
-        token, cls, size, count = token[order], cls[order], size[order], count[order]
+        token, cls, count = token[order], cls[order], count[order]
         cuts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
         ends = np.append(cuts[1:], len(cls))
-        n = size[cuts].astype(np.int64)
+        n = size[np.searchsorted(named, cls[cuts])]
         for a, b, m in zip(*(x[100 * (ends - cuts) >= percent * n] for x in (cuts, ends, n)), strict=True):
             yield pa.RecordBatch.from_arrays(
                 [_longs(cls[a: a + 1]), pa.array([m], pa.int64()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([int(np.searchsorted(count[a:b], FREQUENT))], pa.int64())],
@@ -315,13 +336,14 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("chunk", "cls", "n", "comp", "tokens").groupBy("chunk").applyInArrow(run, "a long, b long")
 
 
-def jaccard_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links that connect all linked classes (not every link)."""
-    spark = docs.sparkSession
-    parts = n_partitions(spark)
-    buckets = 4 * parts
-    dealt = _dealt_tokens(docs, k, buckets).repartition(parts, "bucket")
-    shared = _shared_tokens(dealt, buckets).repartition(parts, "bucket")
+def jaccard_edges(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links that connect all linked classes (not every link).
+
+    ``rows``: class and set size of each document.
+    """
+    parts = n_partitions(docs.sparkSession)
+    dealt = _dealt_tokens(docs, k, parts).repartitionById(parts, F.col("bucket"))
+    shared = _shared_tokens(dealt, parts).union(_dealt_sizes(rows, parts)).repartitionById(parts, F.col("bucket"))
     candidates = written(_candidates(shared, percent), "jaccard-candidates")
     index = written(_index(candidates, percent), "jaccard-index")
     pivots = index.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("top")).filter(F.col("pivot") != F.col("top")).select("sig", "pivot")
@@ -369,11 +391,13 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     (smallest id reachable by links of similarity >= ``percent`` / 100)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = written(_documents(docs, k), "jaccard-documents")
-    labels = components(jaccard_edges(docs, k, percent))
+    labels = components(jaccard_edges(docs, rows, k, percent))
     rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     label = F.when(F.col("n_shingles") == 0, F.xxhash64("id", F.lit("empty"))).otherwise(F.coalesce("comp", "cls"))
-    rows = rows.select("id", "n_shingles", label.alias("label"))
-    least = rows.groupBy("label").agg(F.min("id").alias("component_id"))
+    rows = written(rows.select("id", "n_shingles", label.alias("label")), "jaccard-labels")
+    # Written, so that the join's sides are plain exchanges, which Spark can
+    # split where many documents have one label.
+    least = written(rows.groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-least")
     return rows.join(least, "label").select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
