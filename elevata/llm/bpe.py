@@ -23,15 +23,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import free_name
+from .common import chunked, free_name
 
-#: Distinct pieces that a task remembers, and the longest that it does.
-CACHE_PIECES, CACHE_BYTES = 150_000, 64
+#: Pieces, and nodes of the tree, that a task remembers in each of two
+#: generations, and the longest piece and node in characters and bytes.
+CACHE_PIECES, CACHE_NODES, CACHE_LENGTH, CACHE_BYTES = 350_000, 300_000, 64, 12
 #: Matches of a text that are held at a time.
 MATCHES = 65_536
 
@@ -43,7 +45,8 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._single = [ranks[bytes([b])] for b in range(256)]
+        self._leaves = {bytes([b]): [ranks[bytes([b])]] for b in range(256)}
+        self._nodes = dict(self._leaves)
 
     def merge(self, data: bytes) -> list[int]:
         """Rank-ordered merging of a short run of bytes, leftmost first."""
@@ -79,7 +82,7 @@ class Bpe:
         tokens, i, j = self.tokens, 1, 1
         while True:
             # The window is itself a growing join: it is encoded afresh.
-            window = self._window(b"".join(tokens[t] for t in left[-i:]) + b"".join(tokens[t] for t in right[:j]))
+            window = self._window(b"".join([tokens[t] for t in left[-i:] + right[:j]]))
             lean = i < len(left) and not self.stable(left[-i - 1], window[0])
             rean = j < len(right) and not self.stable(window[-1], right[j])
             if not lean and not rean:
@@ -93,17 +96,26 @@ class Bpe:
 
     def _window(self, data: bytes) -> list[int]:
         """Direct merging with a heap, for windows of any length."""
-        if len(data) <= 48:
-            return self.merge(data)
-        return heap_merge(data, self.ranks)
+        if len(data) <= CACHE_BYTES:
+            known = self._nodes.get(data)
+            return known if known is not None else self._remember(data, self.merge(data))
+        return self.merge(data) if len(data) <= 48 else heap_merge(data, self.ranks)
+
+    def _remember(self, data: bytes, ids: list[int]) -> list[int]:
+        if len(self._nodes) > CACHE_NODES:
+            self._nodes = dict(self._leaves)
+        self._nodes[data] = ids
+        return ids
 
     def tree(self, data: bytes) -> list[int]:
         """Encode by halves and join up the tree."""
+        known = self._nodes.get(data)
+        if known is not None:
+            return known
         n = len(data)
-        if n == 1:
-            return [self._single[data[0]]]
         half = n // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        out = self.join(self.tree(data[:half]), self.tree(data[half:]))
+        return self._remember(data, out) if n <= CACHE_BYTES else out
 
     def piece(self, data: bytes) -> list[int]:
         """One match of the pattern: a vocabulary entry is its own token."""
@@ -112,8 +124,8 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree of halves."""
-        if len(ids) <= 2:
-            return b"".join(self.tokens[i] for i in ids)
+        if len(ids) <= 32:
+            return b"".join([self.tokens[i] for i in ids])
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -177,59 +189,67 @@ def matches(text: str, pattern) -> Iterator[list[str]]:
         yield block
 
 
-def _coded(ranks_path: str, pattern: str, keep_ids: bool, digests: bool) -> Callable:
+class _Pieces(dict):
+    """Ids as text, decoded bytes and packed ids of pieces, encoded when asked
+    for; a bounded number is kept, those asked for lately."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, piece: str) -> tuple[str, bytes, bytes]:
+        row = self.old.get(piece)
+        if row is None:
+            ids = self.bpe.piece(piece.encode())
+            row = (",".join(map(str, ids)), self.bpe.decode(ids), array("i", ids).tobytes())
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = row
+        return row
+
+
+#: Kept between the tasks of a Python worker, by path of the ranks.
+_kept: dict[str, _Pieces] = {}
+
+
+def _pieces(ranks_path: str) -> _Pieces:
+    if ranks_path not in _kept:
+        _kept.clear()
+        _kept[ranks_path] = _Pieces(Bpe(load_ranks(ranks_path)))
+    return _kept[ranks_path]
+
+
+def _coded(ranks_path: str, pattern: str, keep_ids: bool, digests: bool, text: str) -> Callable:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
 
-        bpe, split = Bpe(load_ranks(ranks_path)), regex.compile(pattern)
-        ids_of: dict[str, list[int]] = {}
-        text_of: dict[str, str] = {}
-        raw_of: dict[str, bytes] = {}
-        count_of: dict[str, int] = {}
-
-        def learn(piece: str) -> None:
-            ids = bpe.piece(piece.encode())
-            ids_of[piece] = ids
-            text_of[piece] = ",".join(map(str, ids))
-            raw_of[piece] = bpe.decode(ids)
-            count_of[piece] = len(ids)
+        split = regex.compile(pattern)
+        pieces = _pieces(ranks_path)
 
         def encode(text: str):
-            n, ids, sha, back, begun = 0, [], hashlib.sha256(), hashlib.sha256(), False
+            n, ids, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
             for block in matches(text, split):
-                if len(ids_of) > CACHE_PIECES:
-                    for known in (ids_of, text_of, raw_of, count_of):
-                        known.clear()
-                try:
-                    joined = ",".join([text_of[p] for p in block])
-                except KeyError:
-                    for p in block:
-                        if p not in ids_of:
-                            learn(p)
-                    joined = ",".join([text_of[p] for p in block])
-                n += sum([count_of[p] for p in block])
-                if digests:
-                    if block:
-                        sha.update(("," + joined if begun else joined).encode())
-                        begun = True
-                    back.update(b"".join([raw_of[p] for p in block]))
+                rows = [pieces[p] for p in block]
+                if digests and rows:
+                    joined = ",".join([r[0] for r in rows])
+                    sha.update(("," + joined if n else joined).encode())
+                    n += joined.count(",") + 1
+                    back.update(b"".join([r[1] for r in rows]))
+                else:
+                    n += sum([len(r[2]) for r in rows]) // 4
                 if keep_ids:
-                    for p in block:
-                        ids += ids_of[p]
-                for p in block:
-                    if len(p) > CACHE_BYTES:
-                        for known in (ids_of, text_of, raw_of, count_of):
-                            known.pop(p, None)
-            return n, ids, sha.hexdigest(), back.hexdigest()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+                    ids.append(b"".join([r[2] for r in rows]))
+            return n, b"".join(ids), sha.hexdigest(), back.hexdigest()
+
+        for batch in chunked(batches, 16 << 20, text):
             coded = [encode(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array([c[0] for c in coded], pa.int64())]
             if keep_ids:
-                columns.append(pa.array([c[1] for c in coded], pa.list_(pa.int32())))
+                ends = pa.array(accumulate((c[0] for c in coded), initial=0), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join([c[1] for c in coded]))])))
             if digests:
                 columns += [pa.array([c[2] for c in coded]), pa.array([c[3] for c in coded])]
             yield columns
@@ -252,7 +272,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     extra += [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else []
     taken = free_name(docs, "_bpe_text")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(free_name(docs, n), t) for n, t in extra)])
-    code = _coded(ranks_path, pattern, keep_ids, digests)
+    code = _coded(ranks_path, pattern, keep_ids, digests, taken)
     names = schema.fieldNames()
 
     def run(batches: Iterator) -> Iterator:
