@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op7_ann
 from .bpe import op10_bpe
+from .ctw import op4_ctw
 from .decontaminate import op6_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import op3_ngram_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op4_ctw": op4_ctw,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op7_ann": op7_ann,
