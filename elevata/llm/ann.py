@@ -7,7 +7,8 @@ best bin first, through a priority queue of nodes by distance to their
 centres. How many leaves it visits is calibrated: the visits are widened until
 a bounded set of queries, compared with brute force over all rows, reaches the
 asked recall. Leaves are searched exactly, in blocks of a bounded number of
-rows by a bounded number of queries, and the blocks' results are merged.
+rows by a bounded number of queries: a query's first leaves give a score that
+the rest must reach, so that blocks return little, and results are merged.
 
 Defined results: vectors that are null, empty, zero, of another dimension
 than most, or hold null or non-finite components take no part, nor do rows
@@ -35,6 +36,8 @@ SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
 BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 400, 12
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Leaves that give a query's first neighbours.
+FIRST_LEAVES = 4
 
 
 @dataclass
@@ -127,22 +130,25 @@ def fit_tree(sample: np.ndarray, n_rows: int, top: float) -> Tree:
     return Tree(np.array(centres), children, np.array(leaf), top)
 
 
-def best(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, member number and score of the ``k`` best per query."""
+def best(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, member number and score of the ``k`` best per query, of
+    those that score at least ``least``."""
     rough = queries @ members.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    who, what, score = [], [], []
     slack = 1e-9 * (1 + np.abs(members).max(initial=0) * np.abs(queries).max(initial=0) * members.shape[1])
-    cut = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)] - slack
-    for i in range(len(queries)):
-        near = np.flatnonzero((rough[i] >= cut[i]) & (rough[i] > -np.inf))
-        exact = (members[near] * queries[i]).sum(axis=1)
-        order = np.lexsort((ids[near], -exact))[:k]
-        who.append(np.full(len(order), i))
-        what.append(near[order])
-        score.append(exact[order])
-    join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
-    return join(who, np.int64), join(what, np.int64), join(score, np.float64)
+    cut = np.full(len(queries), -np.inf) if least is None else least.copy()
+    if rough.shape[1] > k:
+        cut = np.maximum(cut, np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k])
+    who, what = np.nonzero((rough >= cut[:, None] - slack) & (rough > -np.inf))
+    score = np.empty(len(who))
+    for at in range(0, len(who), 65_536):  # summed row by row: equal vectors have equal scores
+        part = slice(at, at + 65_536)
+        score[part] = (members[what[part]] * queries[who[part]]).sum(axis=1)
+    order = np.lexsort((ids[what], -score, who))
+    who, what, score = who[order], what[order], score[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    keep = (rank < k) & (True if least is None else score >= least[who])
+    return who[keep], what[keep], score[keep]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -216,14 +222,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
         known, n = shared.value
         for batch in batches:
             seen = [known.visits(q, n) for q in _matrix(batch)] if batch.num_rows else []
-            at = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
-            yield pa.RecordBatch.from_arrays([pa.array([x for s in seen for x in s], pa.int64()), batch.column("id").take(pa.array(at, pa.int64())), batch.column("v").take(pa.array(at, pa.int64()))], names=["leaf", "id", "v"])
+            at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]), pa.int64())
+            turn = pa.array([i for s in seen for i in range(len(s))], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x for s in seen for x in s], pa.int64()), batch.column("id").take(at), batch.column("v").take(at), turn], names=["leaf", "id", "v", "turn"])
 
     layout = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
     members = written(rows.mapInArrow(to_leaf, layout), "ann-leaves")
-    asked = written(rows.filter(is_query).mapInArrow(to_visits, layout), "ann-visits")
-    # Blocks of a leaf: rows by queries. The tables of counts have a row for
-    # each leaf, of which there are at most SAMPLE_ROWS / LEAF_SAMPLE.
+    asked = written(rows.filter(is_query).mapInArrow(to_visits, T.StructType([*layout.fields, T.StructField("turn", T.IntegerType())])), "ann-visits")
+    first = asked.filter(F.col("turn") < FIRST_LEAVES).withColumn("least", F.lit(float("-inf")))
+    early = written(_top(_search(members, first, k), k), "ann-early")
+    least = early.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
+    later = asked.filter(F.col("turn") >= FIRST_LEAVES).join(least, F.col("id") == F.col("query_id"), "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    return _top(early.drop("rank").union(_search(members, later, k)), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _search(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best of each leaf that each query asks, block by block.
+
+    The tables of counts have a row for each leaf, of which there are at most
+    SAMPLE_ROWS / LEAF_SAMPLE.
+    """
     count = lambda df, name, block: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("long").alias(name))
     blocks = F.broadcast(count(members, "by_rows", BLOCK_ROWS).join(count(asked, "by_queries", BLOCK_QUERIES), "leaf"))
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -237,13 +260,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
         if not own.num_rows or not wanted.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, query_ids = own.column("id").to_numpy(), wanted.column("id").to_numpy()
-        who, what, score = best(_matrix(own), ids, _matrix(wanted), query_ids, k)
+        who, what, score = best(_matrix(own), ids, _matrix(wanted), query_ids, k, wanted.column("least").to_numpy())
         return pa.table({"query_id": query_ids[who], "vec_id": ids[what], "score": score})
 
     keys = ["leaf", "a", "b"]
-    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "least").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
