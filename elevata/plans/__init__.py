@@ -1,0 +1,7 @@
+"""All queries of the engine by name, with DuckDB equivalents."""
+
+from . import matching, report, text
+
+MODULES = (report, text, matching)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
