@@ -104,6 +104,6 @@ def centre_distance(a: Box, b: Box) -> Column:
 
 def yolo_line(class_id: Column, box: Box, width: Column, height: Column) -> Column:
     """``class cx cy w h``, relative and clamped; null for empty boxes."""
-    clamp = lambda c, low: F.least(F.greatest(c, F.lit(low)), F.lit(1.0))
+    clamp = lambda c, low: F.bround(F.least(F.greatest(c, F.lit(low)), F.lit(1.0)), 6)
     line = F.format_string("%d %.6f %.6f %.6f %.6f", class_id.cast("int"), clamp(box.cx / width, 0.0), clamp(box.cy / height, 0.0), clamp(box.w / width, 0.001), clamp(box.h / height, 0.001))
     return F.when((box.w > 0) & (box.h > 0) & (width > 0) & (height > 0), line)
