@@ -268,10 +268,10 @@ def _compare_apart(regions: DataFrame, length: int, schema: T.StructType, parts:
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted regions of each document."""
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "occ")).alias("w"))
+    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "occ", "size")).alias("w"))
     lists = lists.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "w")
     joined = docs.join(lists, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "text", "w")
-    schema = T.StructType([T.StructField("h", T.LongType()), docs.schema["id"], T.StructField("th", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("occ", T.LongType()), T.StructField("raw", T.BinaryType())])
+    schema = T.StructType([T.StructField("h", T.LongType()), docs.schema["id"], T.StructField("th", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("occ", T.LongType()), T.StructField("size", T.LongType()), T.StructField("raw", T.BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -281,11 +281,11 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             data, w = raw.tobytes(), batch.column("w")
             doc = np.repeat(np.arange(batch.num_rows), np.diff(w.offsets.to_numpy()))
             flat = w.flatten()
-            h, lo, n, occ = (flat.field(i) for i in range(4))
+            h, lo, n, occ, size = (flat.field(i) for i in range(5))
             a = offsets[doc] + lo.to_numpy()
             b = a + n.to_numpy() - 1 + length
             take = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([h, batch.column("id").take(take), batch.column("th").take(take), lo, n, occ, pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([h, batch.column("id").take(take), batch.column("th").take(take), lo, n, occ, size, pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], names=schema.fieldNames())
 
     return joined.mapInArrow(run, schema)
 
@@ -297,24 +297,27 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     every = written(_all_anchors(slim, length), "suffix-anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    # Written, so that the joins' sides are plain exchanges, which Spark can
+    # split where one token has many anchors.
+    twice = written(every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "suffix-tokens")
     some = written(every.join(twice, "h", "left_semi"), "suffix-shared")
-    regions = written(some.groupBy("h", "reg").agg(F.count("*").alias("occ"), F.min(F.struct("id", "th", "lo", "n")).alias("rep")), "suffix-regions")
+    copy = [F.first(c).alias(c) for c in ("id", "th", "lo", "n")]
+    regions = written(some.groupBy("h", "reg").agg(F.count("*").alias("occ"), *copy), "suffix-regions")
     whole = some.join(regions.filter("occ > 1").select("h", "reg"), ["h", "reg"], "left_semi").select("id", "th", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
-    mixed = regions.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    wanted = written(regions.join(mixed, "h").select("h", "rep.*", "occ", "size"), "suffix-wanted")
+    mixed = written(regions.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "suffix-mixed")
+    wanted = regions.join(mixed, "h").select("h", "id", "th", "lo", "n", "occ", "size")
+    cut = written(_cut(slim, wanted, length), "suffix-cut")
 
     schema = T.StructType([slim.schema["id"], T.StructField("th", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    near = wanted.filter(F.col("size") <= GROUP_REGIONS)
+    near = cut.filter(F.col("size") <= GROUP_REGIONS)
     size = near.count()
     seen = near.sample(min(1.0, SPLITTER_ROWS / size), 7).select("h").toArrow().column("h").to_numpy() if size else np.zeros(0, np.int64)
     splitters = np.unique(np.quantile(seen, np.arange(1, parts) / parts, method="nearest")) if len(seen) and parts > 1 else seen[:0]
     bucket = F.array_size(F.filter(F.array(*(F.lit(int(s)) for s in splitters)), lambda s: s <= F.col("h"))) if len(splitters) else F.lit(0)
-    cut = _cut(slim, near, length).repartitionById(parts, bucket).sortWithinPartitions("h")
-    spans = whole.union(_compare(cut, length, schema))
-    far = wanted.filter(F.col("size") > GROUP_REGIONS)
+    spans = whole.union(_compare(near.repartitionById(parts, bucket).sortWithinPartitions("h"), length, schema))
+    far = cut.filter(F.col("size") > GROUP_REGIONS)
     if not far.isEmpty():
-        blocks = written(_cut(slim, far, length).withColumn("block", F.pmod(F.xxhash64("th", "lo"), F.lit(parts)).cast("int")), "suffix-blocks")
+        blocks = far.withColumn("block", F.pmod(F.xxhash64("th", "lo"), F.lit(parts)).cast("int"))
         spans = spans.union(_compare_apart(blocks, length, schema, parts))
     return _without(docs, written(spans, "suffix-spans"), id_col, text_col)
 
