@@ -148,11 +148,13 @@ class Pseudonyms:
     def phone(self, value: str, back: bool = False) -> str | None:
         digits = "".join(c for c in value if c in DIGITS)
         if len(digits) == 11 and digits[0] == "1" or len(digits) == 10 and not value.startswith("+"):
-            own = digits[-10:]  # area and exchange begin with 2 to 9
-            if own[0] in "01" or own[3] in "01":
+            own = digits[-10:]  # area and exchange begin with 2 to 9 in the number plan
+            if not value.startswith("+") and (own[0] in "01" or own[3] in "01"):
                 return None
-            wide = [DIGITS[2:], DIGITS, DIGITS]
-            return _refill(value, digits[:-10] + self._mixed("phone", own, [*wide, *wide, *[DIGITS] * 4], back), lambda c: c in DIGITS)
+            first = [DIGITS[:2] if own[i] in "01" else DIGITS[2:] for i in (0, 3)]
+            signs = [first[0], DIGITS, DIGITS, first[1], *[DIGITS] * 6]
+            kinds = "".join("0" if own[i] in "01" else "2" for i in (0, 3))
+            return _refill(value, digits[:-10] + self._mixed(f"phone:{kinds}", own, signs, back), lambda c: c in DIGITS)
         if not value.startswith("+") or not 8 <= len(digits) <= 15 or digits[0] == "0":
             return None
         return _refill(value, digits[:2] + self._mixed(f"phone:{digits[:2]}", digits[2:], [DIGITS] * (len(digits) - 2), back), lambda c: c in DIGITS)
