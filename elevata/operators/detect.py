@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import config
 from . import kernels as K
+from . import refine as R
 
 REGIONS = T.StructType([
     T.StructField("image_id", T.StringType()), T.StructField("region_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("label", T.StringType()),
@@ -99,7 +100,11 @@ def detect_all(bgr: np.ndarray) -> list[tuple[str, str, tuple[int, int, int, int
         return []
     out = [("facade", "photo", facade)]
     fx, fy, fw, fh, _ = facade
-    for b in photo_openings(bgr, facade):
+    g, wall = K.gray(bgr), facade[:4]
+    boxes = [b[:4] for b in photo_openings(bgr, facade)]
+    boxes = R.distinct(boxes + R.windows_by_contrast(g, wall) + R.windows_by_gradient(g, wall))
+    boxes = R.distinct(boxes + R.gap_doors(boxes, wall, g))
+    for b in ((*b, b[2] * b[3]) for b in boxes):
         low, tall = (b[1] + b[3] - fy) / fh >= 0.72, 0.20 <= b[3] / fh <= 0.82
         door = low and tall and 0.28 <= b[2] / b[3] <= 1.25 and 0.04 <= b[2] / fw <= 0.28
         out.append(("door" if door else "window", "photo", b))
