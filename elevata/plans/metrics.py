@@ -189,7 +189,7 @@ ORACLES = {
     "count_checks": f"""{duck("v_element")} SELECT facade_id, count(*) AS n, CASE facade_id % 3 WHEN 0 THEN CASE WHEN count(*) = facade_id % 7 THEN 'ok' ELSE 'differs' END WHEN 1 THEN CASE WHEN count(*) >= facade_id % 5 THEN 'ok' ELSE 'too few' END ELSE 'unchecked' END AS state FROM v_element GROUP BY facade_id""",
     "geometry_metrics": f"""{duck("v_facade")}, k AS (SELECT *, x + w * 0.5::DOUBLE AS fc, x + facade_id % 150 + 15.5::DOUBLE AS dc FROM v_facade),
         l AS (SELECT *, CASE WHEN fc < x + 100 THEN y + h - 35 + 5 * (fc - x) / 100 ELSE y + h - 30 - 20 * (fc - x - 100) / (w - 100) END AS fy, CASE WHEN dc < x + 100 THEN y + h - 35 + 5 * (dc - x) / 100 WHEN dc >= x + w THEN y + h - 50 ELSE y + h - 30 - 20 * (dc - x - 100) / (w - 100) END AS dy FROM k)
-        SELECT facade_id, -3 AS left_offset, 3 - facade_id % 9 AS right_offset, round_even(y + h - fy, 0)::BIGINT AS facade_to_line, round_even(y + h - facade_id % 60 - dy, 0)::BIGINT AS door_to_line FROM l""",
+        SELECT facade_id, (-3)::BIGINT AS left_offset, 3 - facade_id % 9 AS right_offset, round_even(y + h - fy, 0)::BIGINT AS facade_to_line, round_even(y + h - facade_id % 60 - dy, 0)::BIGINT AS door_to_line FROM l""",
     "baseline_delta": f"""{duck("v_element")}, a AS (SELECT facade_id AS case_id, x, y, w, h, row_number() OVER o AS k FROM v_element WINDOW o AS (PARTITION BY facade_id ORDER BY x, y, w, h)),
         b AS (SELECT facade_id AS case_id, x + CASE WHEN facade_id % 4 = 0 THEN 3 ELSE 1 END AS x, y, w, h, row_number() OVER o AS k FROM v_element WHERE element_id % 50 <> 7 WINDOW o AS (PARTITION BY facade_id ORDER BY x, y, w, h)),
         na AS (SELECT case_id, count(*) AS na FROM a GROUP BY ALL), nb AS (SELECT case_id, count(*) AS nb FROM b GROUP BY ALL),
