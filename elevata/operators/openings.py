@@ -240,3 +240,45 @@ def scene_pruned(openings: DataFrame) -> DataFrame:
     small = a.area < F.col("fw") * F.col("fh") * 0.004
     gone = (gable & door & (F.col("n_near") <= 1)) | (gable & ~door & small) | (sparse & ~door & (F.col("n_near") > 0) & ((F.col("n_left") == 0) | (F.col("n_left") == F.col("n_near"))) & (a.w < F.col("fw") * 0.05))
     return rows.filter(~gone).select(openings.columns)
+
+
+def composite_openings(openings: DataFrame) -> DataFrame:
+    """Openings of composite facades: windows that stand right above a door
+    go; a door with a sidelight on one side only gets its mirror image.
+
+    ``openings``: facade_id, region_id, kind (window, door, sidelight), x, y,
+    w, h. Mirrored sidelights get the door's id, negated.
+    """
+    a, d = Box.of(), Box.of("d")
+    doors = openings.filter("kind = 'door'").select("facade_id", F.col("region_id").alias("door_id"), *(F.col(c).alias("d" + c) for c in "xywh"))
+    pairs = openings.filter("kind <> 'door'").join(doors, "facade_id")
+    above = (F.col("kind") == "window") & (overlap_x(a, d) >= F.least(a.w, d.w) * 0.5) & (a.bottom <= d.y + d.h * 0.15) & (d.y - a.bottom <= d.h * 0.25)
+    gone = pairs.filter(above).select("region_id").distinct()
+    beside = (F.col("kind") == "sidelight") & (gap_x(a, d) <= d.w * 0.25) & (overlap_x(a, d) <= a.w * 0.2) & (overlap_y(a, d) >= d.h * 0.5)
+    side = pairs.filter(beside).withColumn("left", a.cx < d.cx)
+    one = side.groupBy("facade_id", "door_id", "dx", "dw").agg(F.count_if("left").alias("nl"), F.count_if(~F.col("left")).alias("nr"), F.min_by(F.struct(*"xywh"), "region_id").alias("s"))
+    s = Box.of(struct=F.col("s"))
+    mirrored = (2 * F.col("dx") + F.col("dw") - s.x - s.w).cast("long")
+    new = one.filter((F.col("nl") > 0) != (F.col("nr") > 0)).select("facade_id", (-F.col("door_id")).alias("region_id"), F.lit("sidelight").alias("kind"), mirrored.alias("x"), *(F.col(f"s.{c}").alias(c) for c in "ywh"))
+    kept = openings.join(gone, "region_id", "left_anti").select("facade_id", "region_id", "kind", *"xywh")
+    return kept.unionByName(new)
+
+
+def routed_regions(detected: DataFrame, predicted: DataFrame, images: DataFrame) -> DataFrame:
+    """Regions by route: on images that are not marked (``marked_share`` up to
+    5 %) predictions replace detected openings, and facades where none was
+    detected; unless the photograph has a central door cluster (``central``)
+    and the predictions have windows but no door.
+
+    Regions: image_id, region_id, kind; images: image_id, marked_share,
+    central.
+    """
+    n = predicted.groupBy("image_id").agg(F.count_if(F.col("kind") == "window").alias("pw"), F.count_if(F.col("kind") == "door").alias("pd"), F.count("*").alias("n"))
+    f = detected.groupBy("image_id").agg(F.count_if(F.col("kind") == "facade").alias("nf"))
+    route = images.join(n, "image_id", "left").join(f, "image_id", "left").na.fill(0, ["pw", "pd", "n", "nf"])
+    keep = F.col("central") & (F.col("pw") > 0) & (F.col("pd") == 0)
+    route = route.select("image_id", ((F.col("marked_share") <= 0.05) & (F.col("n") > 0) & ~keep).alias("use"), (F.col("nf") == 0).alias("bare"))
+    opening = F.col("kind").isin("window", "door")
+    own = detected.join(route, "image_id").filter(~F.col("use") | ~opening).select(*detected.columns, F.lit("detected").alias("route"))
+    new = predicted.join(route, "image_id").filter(F.col("use") & (opening | ((F.col("kind") == "facade") & F.col("bare")))).select(*detected.columns, F.lit("predicted").alias("route"))
+    return own.unionByName(new)

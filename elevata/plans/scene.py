@@ -65,6 +65,18 @@ def validator_geometry(spark, sf):
     return e.select("region_id", O.invalid_window(f, o, F.lit(2000 * 1200)).alias("invalid"), O.implausible(f, o).alias("implausible"), O.markup_window(f, o).alias("markup"))
 
 
+def composite_openings(spark, sf):
+    e = _inside(spark, sf).withColumn("kind", F.when((F.col("kind") == "window") & (F.col("region_id") % 3 == 0), "sidelight").otherwise(F.col("kind")))
+    return O.composite_openings(e.select("facade_id", "region_id", "kind", *"xywh"))
+
+
+def routed_regions(spark, sf):
+    e = view(spark, sf, "v_element").withColumn("kind", F.when(F.col("score") % 9 == 0, "facade").otherwise(F.col("kind")))
+    pick = lambda d: d.select(F.col("facade_id").alias("image_id"), F.col("element_id").alias("region_id"), "kind")
+    images = view(spark, sf, "v_facade").select(F.col("facade_id").alias("image_id"), (F.col("facade_id") % 11 / 100.0).alias("marked_share"), (F.col("facade_id") % 2 == 0).alias("central"))
+    return O.routed_regions(pick(e.filter("side = 'F'")), pick(e.filter("side = 'O'")), images)
+
+
 INSIDE = f"""{duck("v_facade", "v_element")}, e AS (SELECT e.facade_id, element_id AS region_id, kind, f.x + e.x % f.w AS x, f.y + e.y % f.h AS y, e.w, e.h, f.x AS fx, f.y AS fy, f.w AS fw, f.h AS fh, f.image_id FROM v_element e JOIN v_facade f ON e.facade_id = f.facade_id)"""
 
 
@@ -75,7 +87,7 @@ def _score_sql(source: str, area: str, many: str) -> str:
         FROM (SELECT *, w / fw::DOUBLE AS wr, h / fh::DOUBLE AS hr, (y + h - fy) / fh::DOUBLE AS br, (x + w * 0.5::DOUBLE - fx) / fw AS cr, w / h::DOUBLE AS ar, {area} / (fw * fh)::DOUBLE AS sr FROM {source})"""
 
 
-QUERIES = {f.__name__: f for f in (door_score, promoted_door, gap_fit, central_cluster, scene_class, prune_openings, validator_geometry)}
+QUERIES = {f.__name__: f for f in (door_score, promoted_door, gap_fit, central_cluster, scene_class, prune_openings, validator_geometry, composite_openings, routed_regions)}
 ORACLES = {
     "door_score": f"""{INSIDE}, s AS ({_score_sql("e", "w * h", "region_id % 2 = 1")}) SELECT region_id, round(score, 9) AS score FROM s""",
     "promoted_door": f"""{INSIDE}, i AS (SELECT * FROM e WHERE x + w * 0.5::DOUBLE BETWEEN fx AND fx + fw AND y + h * 0.5::DOUBLE BETWEEN fy AND fy + fh),
@@ -116,3 +128,15 @@ ORACLES["prune_openings"] = f"""{INSIDE}, {SCENE}, q AS (SELECT e.*, scene FROM
   z AS (SELECT q.*, coalesce(n, 0) AS n, coalesce(l, 0) AS l FROM q LEFT JOIN near USING (region_id))
   SELECT facade_id, region_id, scene FROM z WHERE NOT ((scene = 'gable_facade' AND kind = 'door' AND n <= 1) OR (scene = 'gable_facade' AND kind <> 'door' AND w * h < fw * fh * 0.004::DOUBLE)
      OR (scene = 'sparse_openings_flat' AND kind <> 'door' AND n > 0 AND (l = 0 OR l = n) AND w < fw * 0.05::DOUBLE))"""
+ORACLES["composite_openings"] = f"""{INSIDE}, o AS (SELECT facade_id, region_id, CASE WHEN kind = 'window' AND region_id % 3 = 0 THEN 'sidelight' ELSE kind END AS kind, x, y, w, h FROM e),
+  p AS (SELECT a.*, d.region_id AS did, d.x AS dx, d.y AS dy, d.w AS dw, d.h AS dh, greatest(least(a.x + a.w, d.x + d.w) - greatest(a.x, d.x), 0) AS ox, greatest(least(a.y + a.h, d.y + d.h) - greatest(a.y, d.y), 0) AS oy,
+               greatest(greatest(a.x, d.x) - least(a.x + a.w, d.x + d.w), 0) AS gx FROM o a JOIN o d ON a.facade_id = d.facade_id AND a.kind <> 'door' AND d.kind = 'door'),
+  gone AS (SELECT DISTINCT region_id FROM p WHERE kind = 'window' AND ox >= least(w, dw) * 0.5::DOUBLE AND y + h <= dy + dh * 0.15::DOUBLE AND dy - y - h <= dh * 0.25::DOUBLE),
+  s AS (SELECT *, x + w * 0.5::DOUBLE < dx + dw * 0.5::DOUBLE AS l FROM p WHERE kind = 'sidelight' AND gx <= dw * 0.25::DOUBLE AND ox <= w * 0.2::DOUBLE AND oy >= dh * 0.5::DOUBLE),
+  one AS (SELECT facade_id, did, dx, dw, arg_min(struct_pack(x := x, y := y, w := w, h := h), region_id) AS s FROM s GROUP BY facade_id, did, dx, dw HAVING bool_or(l) <> bool_or(NOT l))
+  SELECT * FROM o WHERE region_id NOT IN (SELECT region_id FROM gone) UNION ALL SELECT facade_id, -did, 'sidelight', 2 * dx + dw - s.x - s.w, s.y, s.w, s.h FROM one"""
+ORACLES["routed_regions"] = f"""{duck("v_facade", "v_element")}, e AS (SELECT facade_id AS image_id, element_id AS region_id, CASE WHEN score % 9 = 0 THEN 'facade' ELSE kind END AS kind, side FROM v_element),
+  r AS (SELECT facade_id AS image_id, facade_id % 11 / 100.0::DOUBLE <= 0.05 AND count(region_id) FILTER (WHERE side = 'O') > 0 AND NOT (facade_id % 2 = 0 AND count(*) FILTER (WHERE side = 'O' AND kind = 'window') > 0 AND count(*) FILTER (WHERE side = 'O' AND kind = 'door') = 0) AS use,
+               count(*) FILTER (WHERE side = 'F' AND kind = 'facade') = 0 AS bare FROM v_facade LEFT JOIN e ON e.image_id = facade_id GROUP BY facade_id)
+  SELECT image_id, region_id, kind, 'detected' AS route FROM e JOIN r USING (image_id) WHERE side = 'F' AND (NOT use OR kind = 'facade')
+  UNION ALL SELECT image_id, region_id, kind, 'predicted' FROM e JOIN r USING (image_id) WHERE side = 'O' AND use AND (kind <> 'facade' OR bare)"""
