@@ -92,11 +92,6 @@ def iou(a: Box, b: Box) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
-def contained(a: Box, b: Box) -> Column:
-    """Intersection over the smaller area."""
-    return intersection(a, b) / F.greatest(F.least(a.area, b.area), F.lit(1))
-
-
 def centre_distance(a: Box, b: Box) -> Column:
     dx, dy = a.cx - b.cx, a.cy - b.cy
     return F.sqrt(dx * dx + dy * dy)

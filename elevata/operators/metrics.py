@@ -99,12 +99,6 @@ def count_check(found: Column, exact: Column, low: Column) -> Column:
     return F.when(exact.isNotNull(), F.when(found == exact, "ok").otherwise("differs")).when(low.isNotNull(), F.when(found >= low, "ok").otherwise("too few")).otherwise("unchecked")
 
 
-def box_delta(a: Box, b: Box) -> Column:
-    """Largest difference of the coordinates; a million where one is null."""
-    worst = F.greatest(*(F.abs(getattr(a, c) - getattr(b, c)) for c in "xywh"))
-    return F.when(a.x.isNull() & b.x.isNull(), 0).otherwise(F.coalesce(F.when(a.x.isNotNull() & b.x.isNotNull(), worst), F.lit(10**6)))
-
-
 def baseline_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     """Cases whose boxes changed: counts, or a coordinate by over 2 px after
     sorting. Both: case_id, x, y, w, h."""

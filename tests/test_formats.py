@@ -74,6 +74,16 @@ def test_png_round_trip(spark, tmp_path):
     assert D.png_dpi(data[:33] + (9).to_bytes(4, "big") + phys + b"0000" + data[33:]) == pytest.approx(254)
 
 
+def test_listings_and_manual_rows(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.PNG", "sub/b.jpg", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r["stem"] for r in S.image_files(spark, str(tmp_path)).collect()) == ["a", "b"]
+    assert [r["stem"] for r in S.image_files(spark, str(tmp_path), recursive=False).collect()] == ["a"]
+    rows = S.manual_rows(spark, [{"facade": "A", "kind": "door", "label": "U1", "area_m2": 2}, {"facade": "A"}]).collect()
+    assert [tuple(r) for r in rows] == [("A", "door", "U1", 2.0), ("A", None, None, 0.0)]
+
+
 def test_workbooks_and_labels(spark, tmp_path):
     lists = spark.createDataFrame([(1, 1, 1, "gross", "mp", 2.5), (1, 1, 2, "net", "mp", 2.0), (2, 1, 1, "gross", "mp", 0.0)], "image_id long, section int, line int, label string, unit string, quantity double")
     files = {r["image_id"]: r["file"] for r in D.write_workbooks(lists, f"file://{tmp_path}/books").collect()}

@@ -120,6 +120,10 @@ def test_opening_evidence():
     assert K.opening_evidence(wall, (500, 500, 5, 5))["support"] == 0
 
 
+def test_laplacian():
+    assert K.laplacian_variance(np.full((20, 20), 9.0)) == 0 < K.laplacian_variance(np.random.default_rng(0).random((20, 20)))
+
+
 def test_k_means_repeats():
     x = np.concatenate([np.zeros((20, 3)), np.full((20, 3), 50), np.full((20, 3), 200)])
     near = K.k_means(x, 3)

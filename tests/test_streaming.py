@@ -20,3 +20,8 @@ def test_running_totals(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [tuple(r) for r in spark.table("totals").collect()] == [(1, 300, 2)]
+
+
+def test_windows_of_events(spark):
+    rows = I.counted_events(spark.readStream.format("rate").load().selectExpr("timestamp AS ts", "'a' AS event_type", "CAST(value AS double) AS value"))
+    assert rows.isStreaming and rows.columns == ["window", "event_type", "n", "total"]

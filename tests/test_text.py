@@ -17,6 +17,8 @@ def test_labels_and_slugs(spark):
     rows = spark.createDataFrame([("f 2-1",), ("F_2",), (" u12 ",), ("Soclu",), (None,)], "t string")
     assert [r[0] for r in rows.select(X.label_key(F.col("t"))).collect()] == ["F2", "F2", "U12", "SOCLU", None]
     assert [r[0] for r in rows.select(X.element_type(F.col("t"))).collect()] == ["window", None, "door", None, None]
+    titles = spark.createDataFrame([("Fatada principala",), ("parter",)], "t string").select(X.facade_title(F.col("t"))).collect()
+    assert [t[0] for t in titles] == [True, False]
     slugs = spark.createDataFrame([("Ușă și fereastră (1)",), ("--",), ("Çà et là",)], "t string").select(X.slug(F.col("t"))).collect()
     assert [s[0] for s in slugs] == ["Usa_si_fereastra_1", "", "Ca_et_la"]
 
