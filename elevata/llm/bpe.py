@@ -33,7 +33,7 @@ from .common import chunked, free_name
 
 #: Pieces, and nodes of the tree, that a task remembers in each of two
 #: generations, and the longest piece and node in characters and bytes.
-CACHE_PIECES, CACHE_NODES, CACHE_LENGTH, CACHE_BYTES = 350_000, 300_000, 64, 12
+CACHE_PIECES, CACHE_NODES, CACHE_LENGTH, CACHE_BYTES = 200_000, 100_000, 64, 12
 #: Matches of a text that are held at a time.
 MATCHES = 65_536
 
@@ -44,7 +44,7 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._leaves = {bytes([b]): [ranks[bytes([b])]] for b in range(256)}
         self._nodes = dict(self._leaves)
 
@@ -65,12 +65,13 @@ class Bpe:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the pair of tokens encodes to itself."""
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) > 400_000:
+            if len(self._pairs) > CACHE_NODES:
                 self._pairs.clear()
             known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._pairs[left, right] = known
+            self._pairs[pair] = known
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -190,18 +191,18 @@ def matches(text: str, pattern) -> Iterator[list[str]]:
 
 
 class _Pieces(dict):
-    """Ids as text, decoded bytes and packed ids of pieces, encoded when asked
-    for; a bounded number is kept, those asked for lately."""
+    """Packed ids of pieces, encoded when first asked for; a bounded number
+    is kept, those asked for lately."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe, self.old = bpe, {}
+        self.shown = {i: str(i) for i in bpe.tokens}
 
-    def __missing__(self, piece: str) -> tuple[str, bytes, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         row = self.old.get(piece)
         if row is None:
-            ids = self.bpe.piece(piece.encode())
-            row = (",".join(map(str, ids)), self.bpe.decode(ids), array("i", ids).tobytes())
+            row = array("i", self.bpe.piece(piece.encode())).tobytes()
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
                 self.old = dict(self)
@@ -229,22 +230,23 @@ def _coded(ranks_path: str, pattern: str, keep_ids: bool, digests: bool, text: s
         split = regex.compile(pattern)
         pieces = _pieces(ranks_path)
 
+        shown, tokens = pieces.shown, pieces.bpe.tokens
+
         def encode(text: str):
-            n, ids, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
+            n, packed, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
             for block in matches(text, split):
-                rows = [pieces[p] for p in block]
-                if digests and rows:
-                    joined = ",".join([r[0] for r in rows])
+                data = b"".join([pieces[p] for p in block])
+                if digests and data:
+                    ids = array("i", data).tolist()
+                    joined = ",".join([shown[i] for i in ids])
                     sha.update(("," + joined if n else joined).encode())
-                    n += joined.count(",") + 1
-                    back.update(b"".join([r[1] for r in rows]))
-                else:
-                    n += sum([len(r[2]) for r in rows]) // 4
+                    back.update(b"".join([tokens[i] for i in ids]))
+                n += len(data) // 4
                 if keep_ids:
-                    ids.append(b"".join([r[2] for r in rows]))
-            return n, b"".join(ids), sha.hexdigest(), back.hexdigest()
+                    packed.append(data)
+            return n, b"".join(packed), sha.hexdigest(), back.hexdigest()
 
-        for batch in chunked(batches, 16 << 20, text):
+        for batch in chunked(batches, 4 << 20, text):
             coded = [encode(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array([c[0] for c in coded], pa.int64())]
             if keep_ids:

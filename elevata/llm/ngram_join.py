@@ -46,7 +46,7 @@ FREQUENT = 16
 #: group against which all its chunks are linked first.
 CHUNK_TOKENS, PIVOTS = 150_000, 8
 #: Bytes of text whose shingles are taken at a time.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
