@@ -33,7 +33,7 @@ from .common import chunked, free_name
 
 #: Pieces, and nodes of the tree, that a task remembers in each of two
 #: generations, and the longest piece and node in characters and bytes.
-CACHE_PIECES, CACHE_NODES, CACHE_LENGTH, CACHE_BYTES = 200_000, 100_000, 64, 12
+CACHE_PIECES, CACHE_NODES, CACHE_LENGTH, CACHE_BYTES = 300_000, 150_000, 64, 12
 #: Matches of a text that are held at a time.
 MATCHES = 65_536
 
@@ -197,7 +197,9 @@ class _Pieces(dict):
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe, self.old = bpe, {}
-        self.shown = {i: str(i) for i in bpe.tokens}
+        n = max(bpe.tokens) + 1
+        self.shown = [str(i) for i in range(n)]
+        self.bytes = [bpe.tokens.get(i, b"") for i in range(n)]
 
     def __missing__(self, piece: str) -> bytes:
         row = self.old.get(piece)
@@ -230,17 +232,17 @@ def _coded(ranks_path: str, pattern: str, keep_ids: bool, digests: bool, text: s
         split = regex.compile(pattern)
         pieces = _pieces(ranks_path)
 
-        shown, tokens = pieces.shown, pieces.bpe.tokens
+        packed_of, shown, bytes_of = pieces.__getitem__, pieces.shown.__getitem__, pieces.bytes.__getitem__
 
         def encode(text: str):
             n, packed, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
             for block in matches(text, split):
-                data = b"".join([pieces[p] for p in block])
+                data = b"".join(map(packed_of, block))
                 if digests and data:
                     ids = array("i", data).tolist()
-                    joined = ",".join([shown[i] for i in ids])
+                    joined = ",".join(map(shown, ids))
                     sha.update(("," + joined if n else joined).encode())
-                    back.update(b"".join([tokens[i] for i in ids]))
+                    back.update(b"".join(map(bytes_of, ids)))
                 n += len(data) // 4
                 if keep_ids:
                     packed.append(data)
