@@ -29,7 +29,7 @@ from itertools import accumulate, islice
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunked, free_name
+from .common import chunked, free_name, trimmed
 
 #: Pieces, and nodes of the tree, that a task remembers in each of two
 #: generations, and the longest piece and node in characters and bytes.
@@ -285,7 +285,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         for columns in code(batches):
             yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names)
 
-    return docs.withColumn(taken, F.col(text_col)).mapInArrow(run, schema)
+    return docs.withColumn(taken, F.col(text_col)).mapInArrow(trimmed(run), schema)
 
 
 def decode_ids(ids: list[int], ranks_path: str) -> bytes:

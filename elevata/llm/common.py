@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word contracts: space and TAB..CR.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -55,10 +55,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def sha256_hex(col: Column) -> Column:
-    return F.sha2(col, 256)
-
-
 def free_name(df: DataFrame, want: str) -> str:
     """``want``, with underscores until it clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -71,6 +67,25 @@ def n_partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker's freed memory goes back to the system:
+    Python workers live on between tasks and stages."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --- numpy views of texts ------------------------------------------------
 
 def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +191,6 @@ class Hashes:
         return mix(h + (ends - starts).astype(np.uint64) * _MULT)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span."""
-    return Hashes(raw).of(starts, ends)
-
-
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hash of each run of ``k`` consecutive word hashes."""
     n = len(words) - k + 1

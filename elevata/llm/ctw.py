@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, mix, n_partitions, spans, utf8_column, written
+from .common import Hashes, chunked, fold_ascii, give_back, mix, n_partitions, spans, trimmed, utf8_column, written
 
 #: Bytes of context. A (context, byte) pair takes 8 * (DEPTH + 1) bits, and 16
 #: more number the documents of a piece.
@@ -335,7 +335,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             yield from _rows(k, -1, *_summed(np.concatenate(x), np.concatenate(n)), buckets)
 
     slim = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = written(slim.mapInArrow(count, ASKED).repartitionById(buckets, F.col("bucket")).mapInArrow(merge, ASKED), "ctw-counts")
+    counts = written(slim.mapInArrow(trimmed(count), ASKED).repartitionById(buckets, F.col("bucket")).mapInArrow(trimmed(merge), ASKED), "ctw-counts")
     n_docs = slim.count()
 
     def depth_two(batches: Iterator) -> Iterator:
@@ -349,7 +349,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
                     add = lambda v: np.bincount(which, weights=v, minlength=len(code))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([pa.array((code >> np.uint64(8)).astype(np.int64)), pa.array((code & np.uint64(255)).astype(np.int64)), pa.array(add(nodes.a).astype(np.int64)), pa.array(add(nodes.b).astype(np.int64)), pa.array(add(nodes.lw))], names=["c", "p", "a", "b", "lw"])
 
-    sums = counts.filter("kind = 0").mapInArrow(depth_two, "c long, p long, a long, b long, lw double").groupBy("c", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("lw"))
+    sums = counts.filter("kind = 0").mapInArrow(trimmed(depth_two), "c long, p long, a long, b long, lw double").groupBy("c", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("lw"))
     top = upper([tuple(r) for r in sums.collect()])
 
     def tally(batches: Iterator) -> Iterator:
@@ -392,6 +392,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         block = table.column("block")[0].as_py()
         _, pairs, words = parts(table)
+        give_back()
         return pa.Table.from_batches([*_rows(0, block, pairs, None, buckets), *_rows(1, block, words, None, buckets)])
 
     def answer(batches: Iterator) -> Iterator:
@@ -452,10 +453,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [batch.column("id"), pa.array(np.bincount(doc, minlength=n) + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(nats / log(10)), pa.array(-nats / log(2) / size)],
                 schema=arrow,
             ))
+        del own, pairs, words, values, buckets_of
+        give_back()
         return pa.Table.from_batches(out, schema=arrow)
 
     asked = slim.groupBy("block").applyInArrow(ask, ASKED)
-    found = asked.union(model.counts).repartitionById(buckets, F.col("bucket")).mapInArrow(answer, "block int, kind int, bucket int, found binary")
+    found = asked.union(model.counts).repartitionById(buckets, F.col("bucket")).mapInArrow(trimmed(answer), "block int, kind int, bucket int, found binary")
     return slim.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(add_up, schema).withColumnRenamed("id", id_col)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, free_name, spans, utf8_column
+from .common import Hashes, chunked, fold_ascii, free_name, spans, trimmed, utf8_column
 
 #: Bytes of text in a shard, and of benchmark text that is searched at once.
 SHARD_BYTES, PHRASE_BYTES = 3 << 20, 8 << 20
@@ -320,7 +320,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str,
             columns = columns + out if first else columns[:-3] + out
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _merged(runs: list[list[int]]) -> list[list[int]]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, mix, n_partitions, spans, utf8_column, window_hashes, written
+from .common import Hashes, chunked, fold_ascii, mix, n_partitions, spans, trimmed, utf8_column, window_hashes, written
 from .components import components
 
 #: A token in at least so many classes is frequent.
@@ -123,7 +123,7 @@ def _documents(docs: DataFrame, k: int) -> DataFrame:
             token, bounds = shingle_sets(*utf8_column(batch.column("text")), k)
             yield pa.RecordBatch.from_arrays([batch.column("id"), _longs(set_classes(token, bounds)), pa.array(np.diff(bounds), pa.int64())], names=schema.fieldNames())
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(trimmed(run), schema)
 
 
 def _dealt_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _dealt_tokens(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                     owners[-1], names[-1] = b"", cls[own[cuts[b]: cuts[b + 1]]].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array(tokens, pa.binary()), pa.array(owners, pa.binary()), pa.array(names, pa.binary())], names=["bucket", "tokens", "owners", "names"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, owners binary, names binary")
+    return docs.select("text").mapInArrow(trimmed(run), "bucket int, tokens binary, owners binary, names binary")
 
 
 def _shared_tokens(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _shared_tokens(dealt: DataFrame, buckets: int) -> DataFrame:
         each = lambda x: pa.array([x[cuts[b]: cuts[b + 1]].tobytes() for b in use], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), each(token), each(cls), each(count)], names=["bucket", "tokens", "classes", "counts"])
 
-    return dealt.mapInArrow(run, "bucket int, tokens binary, classes binary, counts binary")
+    return dealt.mapInArrow(trimmed(run), "bucket int, tokens binary, classes binary, counts binary")
 
 
 def _dealt_sizes(rows: DataFrame, buckets: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _dealt_sizes(rows: DataFrame, buckets: int) -> DataFrame:
             each = [(b, to == b) for b in np.unique(to)]
             yield pa.RecordBatch.from_arrays([pa.array([int(b) for b, _ in each], pa.int32()), pa.array([size[m].tobytes() for _, m in each], pa.binary()), pa.array([cls[m].tobytes() for _, m in each], pa.binary()), pa.array([b""] * len(each), pa.binary())], names=["bucket", "tokens", "classes", "counts"])
 
-    return rows.select("cls", "n_shingles").mapInArrow(run, "bucket int, tokens binary, classes binary, counts binary")
+    return rows.select("cls", "n_shingles").mapInArrow(trimmed(run), "bucket int, tokens binary, classes binary, counts binary")
 
 
 def _candidates(shared: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
                 names=["cls", "n", "tokens", "n_rare"],
             )
 
-    return shared.mapInArrow(run, "cls long, n long, tokens binary, n_rare long")
+    return shared.mapInArrow(trimmed(run), "cls long, n long, tokens binary, n_rare long")
 
 
 def signatures(n: int, tokens: np.ndarray, n_rare: int, percent: int) -> np.ndarray:
@@ -288,7 +288,7 @@ def _index(candidates: DataFrame, percent: int) -> DataFrame:
                 s = signatures(n, np.frombuffer(t, np.uint64), r, percent)
                 yield pa.RecordBatch.from_arrays([_longs(s), pa.array(np.full(len(s), c), pa.int64())], names=["sig", "cls"])
 
-    return candidates.select("cls", "n", "tokens", "n_rare").mapInArrow(run, "sig long, cls long")
+    return candidates.select("cls", "n", "tokens", "n_rare").mapInArrow(trimmed(run), "sig long, cls long")
 
 
 def linked(tokens: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:

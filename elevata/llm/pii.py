@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, trimmed
 
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ipv4", "ssn", "iban", "date", "secret")
@@ -288,7 +288,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds: tup
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(maps, pa.map_(pa.string(), pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

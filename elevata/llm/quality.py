@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, free_name, mix, spans, utf8_column
+from .common import Hashes, chunked, fold_ascii, free_name, mix, spans, trimmed, utf8_column
 
 #: The bounded training sample.
 MAX_DOCS, MAX_LINES = 6000, 200
@@ -259,7 +259,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 names=["i", "q", "x", "n"],
             )
 
-    found = texts.join(F.broadcast(sample), "i").select("i", "q", "t").mapInArrow(lines, T.StructType([texts.schema["i"], T.StructField("q", T.IntegerType()), T.StructField("x", T.BinaryType()), T.StructField("n", T.BinaryType())]))
+    found = texts.join(F.broadcast(sample), "i").select("i", "q", "t").mapInArrow(trimmed(lines), T.StructType([texts.schema["i"], T.StructField("q", T.IntegerType()), T.StructField("x", T.BinaryType()), T.StructField("n", T.BinaryType())]))
     got = sorted(((r["i"], r["q"], bytes(r["x"]), bytes(r["n"])) for r in found.collect()))
     length = [np.frombuffer(r[3], np.int64) for r in got]
     first = np.append(0, np.cumsum([len(x) for x in length])).astype(np.int64)
@@ -282,7 +282,7 @@ def score_quality(docs: DataFrame, field: Field, text_col: str = "text") -> Data
             x, first, length = line_features(*utf8_column(batch.column(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(field.scores(x, first, length))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def remainder(id_col: str, by: int) -> Column:

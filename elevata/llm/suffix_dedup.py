@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, free_name, mix, n_partitions, utf8_column, written
+from .common import Hashes, chunked, free_name, mix, n_partitions, trimmed, utf8_column, written
 
 #: Bytes of a leading token; regions of a token that are compared in one task.
 LEAD, GROUP_REGIONS = 100, 2000
@@ -120,7 +120,7 @@ def _all_anchors(docs: DataFrame, length: int) -> DataFrame:
                     names=schema.fieldNames(),
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def repeated_windows(raw: np.ndarray, starts: np.ndarray, length: int, lead: int = LEAD) -> np.ndarray:
@@ -204,7 +204,7 @@ def _compare(regions: DataFrame, length: int, schema: T.StructType) -> DataFrame
         if held:
             yield of(held)
 
-    return regions.mapInArrow(run, schema)
+    return regions.mapInArrow(trimmed(run), schema)
 
 
 def _compare_apart(regions: DataFrame, length: int, schema: T.StructType, parts: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _compare_apart(regions: DataFrame, length: int, schema: T.StructType, parts:
 
     empty = to_arrow_schema(schema)
     sent = regions.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, many binary")
-    met = sent.repartitionById(parts, F.col("bucket")).mapInArrow(meet, "block int, keys binary")
+    met = sent.repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(meet), "block int, keys binary")
     return regions.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(back, schema)
 
 
@@ -287,7 +287,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays([h, batch.column("id").take(take), batch.column("th").take(take), lo, n, occ, size, pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], names=schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +353,7 @@ def _without(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> D
             columns = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(offsets), pa.int64()), pa.array(cuts, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from elevata.llm.bpe import Bpe, bpe_encode, load_ranks, public_ranks
+from elevata.llm.bpe import Bpe, bpe_encode, decode_ids, load_ranks, public_ranks
 
 PATH, PATTERN = public_ranks()
 BPE = Bpe(load_ranks(PATH))
@@ -41,5 +41,6 @@ def test_rows(spark):
         want = REFERENCE.encode_ordinary(r["text"] or "")
         assert r["ids"] == want and r["n_tokens_"] == len(want)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert decode_ids(r["ids"], PATH) == (r["text"] or "").encode()
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe_encode(docs.limit(0), PATH, PATTERN).count() == 0
