@@ -41,7 +41,7 @@ from .common import Hashes, chunked, fold_ascii, give_back, mix, n_partitions, s
 #: more number the documents of a piece.
 DEPTH = 5
 #: Bytes of text that are sorted at a time, and of a block that is scored.
-PIECE_BYTES, BLOCK_BYTES = 3 << 20, 8 << 20
+PIECE_BYTES, BLOCK_BYTES = 3 << 19, 5 << 20
 #: Distinct pairs that a counting task holds before it sends them.
 HELD_PAIRS = 3_000_000
 END = 10
