@@ -27,7 +27,7 @@ def door_signal(spark, sf):
 
 def document_slugs(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return d.select("doc_id", X.slug(F.concat_ws(" - ", "source", "lang", F.substring("text", 1, 40))).alias("slug"))
+    return d.select("doc_id", X.slug(F.concat_ws(" - ", "source", "lang", "text")).alias("slug"))
 
 
 def _measured(spark, sf):

@@ -1,5 +1,8 @@
 """Queries over every row of their tables, against plain Python."""
 
+import re
+import unicodedata
+
 from elevata import plans
 from elevata.sources.adapter import view
 
@@ -16,3 +19,16 @@ def test_summary_of_every_image(spark):
     got = plans.QUERIES["summary_text"](spark, SF).collect()
     assert len(got) == len(want) and {r["image_id"]: r["text"] for r in got} == want
     assert any(i % 10 for i in want)
+
+
+def test_slugs_of_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+    def slug(d):
+        text = " - ".join(x for x in (d["source"], d["lang"], d["text"]) if x is not None)
+        plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        return re.sub("[^A-Za-z0-9]+", "_", plain).strip("_")
+
+    want = {d["doc_id"]: slug(d) for d in docs}
+    got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["document_slugs"](spark, SF).collect()}
+    assert got == want and max(map(len, want.values())) > 10000
