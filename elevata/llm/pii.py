@@ -16,8 +16,11 @@ secret assignments).
 
 Defined results: a null text stays null; an empty one empty; a text without
 such values is returned as it is; where findings overlap the one that begins
-first wins, then the longer; texts are handled whole; rows that repeat give
-equal rows; an empty table gives an empty table.
+first wins, then the longer; an IBAN ends where its country's length is
+reached, if it is valid there, else at the last space where it is; card
+numbers among other groups of digits are looked for in what is left, and those
+that cover the most digits are taken; texts are handled whole; rows that
+repeat give equal rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -213,12 +216,62 @@ class Pseudonyms:
     def _pseudonym(self, kind: str, value: str) -> str | None:
         return getattr(self, kind)(value)
 
+    def _ibans(self, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, str]]:
+        """A match may hold words behind the IBAN, or begin before it: shorter
+        ends are tried, and the search goes on behind its first sign."""
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.start() + 1
+            own = IBAN_SIGNS.get(m.group()[:2])
+            ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+            ends.sort(key=lambda end: len(text[m.start(): end].replace(" ", "")) != own)
+            for end in ends:
+                new = self._known("iban", text[m.start(): end])
+                if new is not None:
+                    yield m.start(), end, new
+                    at = end
+                    break
+
+    def _inner_cards(self, text: str, at: int, to: int) -> Iterator[tuple[int, int, str, str]]:
+        """Cards among other groups of digits. Groups that hyphens tie to a
+        word are part of it."""
+        for run in _digit_run.finditer(text, at, to):
+            groups = [m.span() for m in _digits.finditer(text, *run.span())]
+            n = len(groups)
+            begins, ends = [False] * n, [False] * n
+            for i, (a, _) in enumerate(groups):
+                begins[i] = text[a - 1] == " " or begins[i - 1] if i else not _before.search(text[max(a - 1, 0): a])
+            for j in reversed(range(n)):
+                b = groups[j][1]
+                ends[j] = text[b] == " " or ends[j + 1] if j < n - 1 else not _behind.search(text[b: b + 1])
+            most, card = [0] * (n + 1), [None] * n  # most digits from each group on
+            for i in reversed(range(n)):
+                most[i], size = most[i + 1], 0
+                for j in range(i, n if begins[i] else i):
+                    size += groups[j][1] - groups[j][0]
+                    if size > 19:
+                        break
+                    if size < 13 or not ends[j] or size + most[j + 1] < most[i]:
+                        continue
+                    new = self._known("card", text[groups[i][0]: groups[j][1]])
+                    if new is not None:
+                        most[i], card[i] = size + most[j + 1], (j, new)
+            i = 0
+            while i < n:
+                j, new = card[i] or (i, None)
+                if new is not None:
+                    yield groups[i][0], groups[j][1], "card", new
+                i = j + 1
+
     def findings(self, text: str) -> list[tuple[int, int, str, str]]:
         """Start, end, kind and pseudonym, in order and without overlap."""
         found = []
         for kind, need, pattern in PATTERNS:
             if kind not in self.kinds or need and not need.search(text):
                 continue
+            if kind == "iban":
+                found += [(start, -end, KINDS.index(kind), new) for start, end, new in self._ibans(pattern, text)]
+                continue
             for m in pattern.finditer(text):
                 group = m.lastindex or 0
                 new = self._known(kind, m.group(group))
@@ -229,6 +282,10 @@ class Pseudonyms:
             if start >= at:
                 out.append((start, -end, KINDS[kind], new))
                 at = -end
+        if "card" in self.kinds and _digit_run.search(text):
+            gaps = zip([0, *(f[1] for f in out)], [*(f[0] for f in out), len(text)], strict=True)
+            out += [f for at, to in list(gaps) for f in self._inner_cards(text, at, to)]
+            out.sort()
         return out
 
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
@@ -246,6 +303,17 @@ def _pattern(p: str) -> re.Pattern:
 
 
 _digit = _pattern("[0-9]")
+_digits = _pattern("[0-9]+")
+_digit_run = _pattern(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
+_before, _behind = _pattern(r"[\w.-]"), _pattern(r"[\w-]")
+#: Signs of an IBAN by country.
+IBAN_SIGNS = {
+    land: n for n, lands in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items() for land in lands.split()
+}
 #: Kind, what a text must hold for the kind to be looked for, the pattern (its
 #: group is the value where it has one). All run in linear time.
 PATTERNS = [

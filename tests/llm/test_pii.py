@@ -69,3 +69,30 @@ def test_rows(spark):
     assert out[3]["replaced_"] == {"email": 1} and out[4]["replaced_"] == {"phone": 3000} and out[5]["replaced_"] == {"secret": 1}
     assert "3da3a2ce706927ddf6" not in out[5]["text"]
     assert pseudonymise(docs.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize("text,kind,values", [
+    ("4111 1111 1111 1111 123", "card", ["4111 1111 1111 1111"]),
+    ("4111 1111 1111 1111 12/27", "card", ["4111 1111 1111 1111"]),
+    ("Order 12 4111111111111111", "card", ["4111111111111111"]),
+    ("2024-4111111111111111", "card", ["4111111111111111"]),
+    ("4111-1111-1111-1111-22.", "card", ["4111-1111-1111-1111"]),
+    ("3782 822463 10005 4111 1111 1111 1111 5500 0000 0000 0004 9", "card", ["3782 822463 10005", "4111 1111 1111 1111", "5500 0000 0000 0004"]),
+    ("ES9121000418450200051332 OK", "iban", ["ES9121000418450200051332"]),
+    ("PL61 1090 1014 0000 0712 1981 2874 BIC", "iban", ["PL61 1090 1014 0000 0712 1981 2874"]),
+    ("AB12 DE89 3704 0044 0532 0130 00 EUR", "iban", ["DE89 3704 0044 0532 0130 00"]),
+])
+def test_values_among_other_groups(text, kind, values):
+    assert [(k, text[a:b]) for a, b, k, _ in P.findings(text)] == [(kind, v) for v in values]
+    new, counts = P.replace(text)
+    assert counts[kind] == len(values) == sum(counts.values()) and not any(v in new for v in values)
+
+
+def test_card_behind_another_finding():
+    text = "123-45-6789 4111 1111 1111 1111"
+    assert [(k, text[a:b]) for a, b, k, _ in P.findings(text)] == [("ssn", "123-45-6789"), ("card", "4111 1111 1111 1111")]
+
+
+@pytest.mark.parametrize("text", ["SKU12-4111111111111111", "4111 1111 1111 1111-22x", "x4111111111111111 1"])
+def test_groups_tied_to_words_left_alone(text):
+    assert P.findings(text) == []
