@@ -6,7 +6,7 @@ sqrt(M - |x|^2), with M the largest squared norm. A query goes down the tree
 best bin first, through a priority queue of nodes by distance to their
 centres. How many leaves it visits is calibrated: the visits are widened until
 a bounded set of queries, compared with brute force over all rows, reaches the
-asked recall. Leaves are searched exactly, in blocks of a bounded number of
+asked recall; a query whose leaves hold too few rows goes on to further ones. Leaves are searched exactly, in blocks of a bounded number of
 rows by a bounded number of queries: a query's first leaves give a score that
 the rest must reach, so that blocks return little, and results are merged.
 
@@ -73,14 +73,16 @@ class Tree:
             todo += [(int(k), rows[near == i]) for i, k in enumerate(kids)]
         return out
 
-    def visits(self, query: np.ndarray, n: int) -> list[int]:
-        """The first ``n`` leaves, best bin first."""
+    def visits(self, query: np.ndarray, n: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``n`` leaves, best bin first; more until they hold
+        ``least`` rows, with ``sizes`` the rows of each leaf."""
         q = np.append(query, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < n:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < n or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                held += 0 if sizes is None else int(sizes[out[-1]])
                 continue
             kids = self.children[node]
             gap = self.centres[kids] - q
@@ -206,28 +208,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     need = sorted(order[q][leaf] + 1 for q, leaf in _brute(rows, probe_v, probe_ids, k, tree))
     visits = need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)] if need else 1
 
-    shared = spark.sparkContext.broadcast((tree, visits))
+    shared = spark.sparkContext.broadcast(tree)
 
     def to_leaf(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                leaf = shared.value[0].assign(_matrix(batch))
+                leaf = shared.value.assign(_matrix(batch))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("id"), batch.column("v")], names=["leaf", "id", "v"])
 
     def to_visits(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known, n = shared.value
-        for batch in batches:
-            seen = [known.visits(q, n) for q in _matrix(batch)] if batch.num_rows else []
+        rows_of = counted.value
+        for batch in batches:  # k rows and the query itself
+            seen = [shared.value.visits(q, visits, rows_of, k + 1) for q in _matrix(batch)] if batch.num_rows else []
             at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]), pa.int64())
             turn = pa.array([i for s in seen for i in range(len(s))], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([x for s in seen for x in s], pa.int64()), batch.column("id").take(at), batch.column("v").take(at), turn], names=["leaf", "id", "v", "turn"])
 
     layout = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
     members = written(rows.mapInArrow(to_leaf, layout), "ann-leaves")
+    sizes = np.zeros(tree.n_leaves, np.int64)
+    for leaf, n in members.groupBy("leaf").count().collect():  # at most SAMPLE_ROWS
+        sizes[leaf] = n
+    counted = spark.sparkContext.broadcast(sizes)
     asked = written(rows.filter(is_query).mapInArrow(to_visits, T.StructType([*layout.fields, T.StructField("turn", T.IntegerType())])), "ann-visits")
     first = asked.filter(F.col("turn") < FIRST_LEAVES).withColumn("least", F.lit(float("-inf")))
     early = written(_top(_search(members, first, k), k), "ann-early")

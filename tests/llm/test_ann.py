@@ -59,3 +59,12 @@ def test_few_rows(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0)]
     assert ann.nearest(frame.limit(0), F.col("id") % 20 == 0).count() == 0
     assert ann.nearest(frame.filter("vec_id = 1"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_small_leaf_goes_on_to_further_ones(spark):
+    groups = [300] * 6 + [5]
+    points = [np.eye(7)[g].tolist() for g, n in enumerate(groups) for _ in range(n)]
+    frame = spark.createDataFrame(list(enumerate(points)), "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, F.col("id") % 20 == 0).groupBy("query_id").count().collect()
+    assert 1800 in {r["query_id"] for r in got}  # one of the five
+    assert len(got) == 91 and {r["count"] for r in got} == {20}
