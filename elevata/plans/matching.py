@@ -28,8 +28,8 @@ def match_titles_areas(spark, sf):
 
 def match_facade_regions(spark, sf):
     f = view(spark, sf, "v_facade")
-    labels = f.filter("facade_id % 2 = 0").select("image_id", F.col("facade_id").alias("label_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    regions = f.filter("facade_id % 2 = 1").select("image_id", F.col("facade_id").alias("region_id"), *"xywh")
+    labels = f.select("image_id", F.col("facade_id").alias("label_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    regions = f.select("image_id", F.col("facade_id").alias("region_id"), *"xywh")
     out = C.match_regions(labels, regions, 600)
     return out.select("image_id", "label_id", F.coalesce("region_id", F.lit(-1)).alias("region_id"))
 
@@ -68,7 +68,7 @@ def regions_inside(spark, sf):
 
 def filter_proximity(spark, sf):
     e, f = _positions(spark, sf)
-    return C.near_facades(e, f.filter("facade_id % 3 <> 0")).select("element_id")
+    return C.near_facades(e, f).select("element_id")
 
 
 def estimate_regions(spark, sf):

@@ -65,7 +65,7 @@ def page_geometry(spark, sf):
 
 def _metrics(spark, sf):
     f = view(spark, sf, "v_facade")
-    facades = f.filter("facade_id % 7 <> 0").select(F.col("facade_id").alias("image_id"), F.when(F.col("facade_id") % 3 > 0, F.col("total_cm2") / 10000.0).otherwise(0.0).alias("area_m2"), F.when(F.col("facade_id") % 4 == 0, 1.0).otherwise(0.0).alias("socle_m2"), F.when(F.col("facade_id") % 5 == 0, "colour").otherwise("ocr").alias("origin"))
+    facades = f.select(F.col("facade_id").alias("image_id"), F.when(F.col("facade_id") % 3 > 0, F.col("total_cm2") / 10000.0).otherwise(0.0).alias("area_m2"), F.when(F.col("facade_id") % 4 == 0, 1.0).otherwise(0.0).alias("socle_m2"), F.when(F.col("facade_id") % 5 == 0, "colour").otherwise("ocr").alias("origin"))
     e = _elements(spark, sf).withColumn("origin", F.when(F.col("read"), "ocr").otherwise("colour")).withColumn("width_m", F.when(F.col("w") > 60, F.col("w") / 50.0)).withColumn("height_m", F.col("h") / 50.0)
     return S.signal_metrics(facades, e)
 

@@ -4,6 +4,8 @@ import re
 import unicodedata
 
 from elevata import plans
+from elevata.operators import correlate as C
+from elevata.operators import scale as S
 from elevata.sources.adapter import view
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,58 @@ def test_slugs_of_whole_documents(spark):
     want = {d["doc_id"]: slug(d) for d in docs}
     got = {r["doc_id"]: r["slug"] for r in plans.QUERIES["document_slugs"](spark, SF).collect()}
     assert got == want and max(map(len, want.values())) > 10000
+
+
+def facades(spark):
+    out = {}
+    for f in view(spark, SF, "v_facade").collect():
+        out.setdefault(f["image_id"], []).append(f)
+    return out
+
+
+def test_proximity_to_all_facades(spark):
+    boxes = facades(spark)
+    image = {f["facade_id"]: i for i, fs in boxes.items() for f in fs}
+    out = lambda p, a, n: max(a - p, p - a - n, 0)
+    near = lambda e, f: out(e["x"], f["x"], f["w"]) ** 2 + out(e["y"], f["y"], f["h"]) ** 2 <= 80 ** 2
+    want = [e["element_id"] for e in view(spark, SF, "v_element").collect() if e["facade_id"] in image and any(near(e, f) for f in boxes[image[e["facade_id"]]])]
+    assert sorted(r["element_id"] for r in plans.QUERIES["filter_proximity"](spark, SF).collect()) == sorted(want)
+
+
+def test_all_facades_as_labels_and_regions(spark):
+    want = []
+    for i, fs in facades(spark).items():
+        far = lambda a, b: (a["x"] - b["x"] - b["w"] // 2) ** 2 + (a["y"] - b["y"] - b["h"] // 2) ** 2
+        pairs = sorted((far(a, b), a["facade_id"], b["facade_id"]) for a in fs for b in fs if far(a, b) <= 600 ** 2)
+        taken, used = {}, set()
+        for _, a, b in pairs:
+            if a not in taken and b not in used:
+                taken[a] = b
+                used.add(b)
+        want += [(i, f["facade_id"], taken.get(f["facade_id"], -1)) for f in fs]
+    assert sorted(tuple(r) for r in plans.QUERIES["match_facade_regions"](spark, SF).collect()) == sorted(want)
+
+
+def test_metrics_and_warnings_of_all_facades(spark):
+    rows = {r["image_id"]: r for r in plans.QUERIES["signal_metrics"](spark, SF).collect()}
+    every = [f for fs in facades(spark).values() for f in fs]
+    assert {f["facade_id"] for f in every} <= set(rows)
+    assert all(rows[f["facade_id"]]["facades_total"] + rows[f["facade_id"]]["color_facades"] == 1 for f in every)
+    known = {f["facade_id"] for f in every}
+    warned = {r["image_id"] for r in plans.QUERIES["warnings"](spark, SF).collect() if r["code"] == "no_facade"}
+    assert not warned & known
+
+
+def test_images_without_facades(spark):
+    elements = spark.createDataFrame([(1, 10, 0, 0), (1, 11, 900, 0), (2, 20, 900, 0)], "image_id long, element_id long, px long, py long")
+    boxes = spark.createDataFrame([(1, 0, 0, 50, 50)], "image_id long, x long, y long, w long, h long")
+    assert sorted(r["element_id"] for r in C.near_facades(elements, boxes).collect()) == [10, 20]
+    labels = spark.createDataFrame([(1, 5, 0, 0), (2, 6, 0, 0), (3, 7, 0, 0)], "image_id long, label_id long, lx long, ly long")
+    regions = spark.createDataFrame([(1, 8, 0, 0, 50, 50), (3, 9, 2000, 0, 50, 50)], "image_id long, region_id long, x long, y long, w long, h long")
+    assert sorted(tuple(r) for r in C.match_regions(labels, regions, 600).collect()) == [(1, 5, 8), (2, 6, None), (3, 7, None)]
+    drawn = spark.createDataFrame([(1, 20.0, 0.0, "ocr")], "image_id long, area_m2 double, socle_m2 double, origin string")
+    found = spark.createDataFrame([(1, "window", 2.0, 1.0, 2.0, "ocr"), (2, "window", None, None, None, "ocr")], "image_id long, kind string, area_m2 double, width_m double, height_m double, origin string")
+    metrics = S.signal_metrics(drawn, found)
+    assert {r["image_id"]: (r["facades_total"], r["ocr_windows"]) for r in metrics.collect()} == {1: (1, 1), 2: (0, 1)}
+    got = S.warnings(metrics.selectExpr("*", "CAST(NULL AS DOUBLE) AS px_per_m")).collect()
+    assert sorted(tuple(r) for r in got) == [(2, "no_facade", "high"), (2, "no_lengths", "low"), (2, "no_signal", "high")]
