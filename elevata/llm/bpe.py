@@ -199,7 +199,6 @@ class _Pieces(dict):
         self.bpe, self.old = bpe, {}
         n = max(bpe.tokens) + 1
         self.shown = [str(i) for i in range(n)]
-        self.bytes = [bpe.tokens.get(i, b"") for i in range(n)]
 
     def __missing__(self, piece: str) -> bytes:
         row = self.old.get(piece)
@@ -232,7 +231,7 @@ def _coded(ranks_path: str, pattern: str, keep_ids: bool, digests: bool, text: s
         split = regex.compile(pattern)
         pieces = _pieces(ranks_path)
 
-        packed_of, shown, bytes_of = pieces.__getitem__, pieces.shown.__getitem__, pieces.bytes.__getitem__
+        packed_of, shown, decode = pieces.__getitem__, pieces.shown.__getitem__, pieces.bpe.decode
 
         def encode(text: str):
             n, packed, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
@@ -242,7 +241,7 @@ def _coded(ranks_path: str, pattern: str, keep_ids: bool, digests: bool, text: s
                     ids = array("i", data).tolist()
                     joined = ",".join(map(shown, ids))
                     sha.update(("," + joined if n else joined).encode())
-                    back.update(b"".join(map(bytes_of, ids)))
+                    back.update(decode(ids))
                 n += len(data) // 4
                 if keep_ids:
                     packed.append(data)

@@ -44,3 +44,22 @@ def test_rows(spark):
         assert decode_ids(r["ids"], PATH) == (r["text"] or "").encode()
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe_encode(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_digests_decode_through_the_tree(monkeypatch):
+    import pyarrow as pa
+
+    import elevata.llm.bpe as bpe
+
+    whole, seen = Bpe.decode, []
+
+    def decode(self, ids):
+        seen.append(len(ids))
+        return whole(self, ids)
+
+    monkeypatch.setattr(Bpe, "decode", decode)
+    monkeypatch.setattr(bpe, "_kept", {})
+    text = "A few words, some of them longer than others. " * 20
+    (_, n_tokens, _, back), = bpe._coded(PATH, PATTERN, False, True, "t")(iter([pa.record_batch({"id": [1], "t": [text]})]))
+    assert back.to_pylist() == [hashlib.sha256(text.encode()).hexdigest()]
+    assert max(seen) == n_tokens.to_pylist()[0] > 32 and len(seen) > 1  # by halves
