@@ -141,8 +141,8 @@ ORACLES = {
         p AS (SELECT a.image_id, title_id, area_id, {FAR} AS d FROM t a JOIN ar b ON a.image_id = b.image_id WHERE {FAR} < 500), {greedy("p", "image_id", "title_id", "area_id", "d, title_id, area_id")}
         SELECT t.image_id, t.title_id, coalesce(area_id, -1) AS area_id FROM t LEFT JOIN chosen USING (image_id, title_id)
         UNION ALL SELECT image_id, -1, area_id FROM ar WHERE area_id NOT IN (SELECT area_id FROM chosen)""",
-    "match_facade_regions": f"""{duck("v_facade", recursive=True)}, a AS (SELECT image_id, facade_id AS label_id, x AS cx, y AS cy FROM v_facade WHERE facade_id % 2 = 0),
-        b AS (SELECT image_id, facade_id AS region_id, x + w // 2 AS cx, y + h // 2 AS cy FROM v_facade WHERE facade_id % 2 = 1),
+    "match_facade_regions": f"""{duck("v_facade", recursive=True)}, a AS (SELECT image_id, facade_id AS label_id, x AS cx, y AS cy FROM v_facade),
+        b AS (SELECT image_id, facade_id AS region_id, x + w // 2 AS cx, y + h // 2 AS cy FROM v_facade),
         p AS (SELECT a.image_id, label_id, region_id, {FAR} AS d FROM a JOIN b ON a.image_id = b.image_id WHERE {FAR} <= 600), {greedy("p", "image_id", "label_id", "region_id", "d, label_id, region_id")}
         SELECT a.image_id, a.label_id, coalesce(region_id, -1) AS region_id FROM a LEFT JOIN chosen USING (image_id, label_id)""",
     "match_color_ocr": f"""{duck("v_element", recursive=True)}, a AS (SELECT facade_id AS image_id, element_id AS ocr_id, kind, label, x AS cx, y AS cy FROM v_element WHERE side = 'F'),
@@ -164,7 +164,7 @@ ORACLES = {
         SELECT image_id, element_id, arg_min(facade_id, (NOT inside, CASE WHEN inside THEN 0 ELSE far END, facade_id)) AS facade_id FROM p GROUP BY image_id, element_id""",
     "regions_inside": f"""{POS} SELECT facade_id, count(*) AS n_inside FROM e JOIN v_facade f ON e.image_id = f.image_id
         WHERE px BETWEEN x - greatest(8.0::DOUBLE, w * 0.025::DOUBLE) AND x + w + greatest(8.0::DOUBLE, w * 0.025::DOUBLE) AND py BETWEEN y - greatest(8.0::DOUBLE, w * 0.025::DOUBLE) AND y + h + greatest(8.0::DOUBLE, w * 0.025::DOUBLE) GROUP BY facade_id""",
-    "filter_proximity": f"""{POS}, f AS (SELECT * FROM v_facade WHERE facade_id % 3 <> 0) SELECT element_id FROM e
+    "filter_proximity": f"""{POS}, f AS (SELECT * FROM v_facade) SELECT element_id FROM e
         WHERE image_id NOT IN (SELECT image_id FROM f) OR EXISTS (SELECT 1 FROM f WHERE f.image_id = e.image_id AND {OUT} <= 80)""",
     "estimate_regions": f"""{duck("v_facade")}, p AS (SELECT a.image_id, a.facade_id AS label_id, a.x AS fx, a.y AS fy, b.x AS ox, b.y AS oy, a.facade_id <> b.facade_id AS other, abs(b.y - a.y) < 80 AS row FROM v_facade a JOIN v_facade b ON a.image_id = b.image_id),
         s AS (SELECT image_id, label_id, fx, fy, min((fx + ox) // 2) FILTER (WHERE other AND row AND ox > fx) AS r, max((fx + ox) // 2) FILTER (WHERE other AND row AND ox <= fx) AS l,

@@ -85,7 +85,7 @@ ORACLES = {
         SELECT image_id, element_id, CASE WHEN score < 20 THEN last_id ELSE e.facade_id END AS facade_id
         FROM v_element e JOIN (SELECT facade_id, image_id FROM v_facade) f ON e.facade_id = f.facade_id JOIN last USING (image_id)""",
     "summary_text": f"""{BASE} SELECT image_id, string_agg(printf('%s: total %d.%02d m2, carpentry %d.%02d m2, net %d.%02d m2', name, (total + 50) // 10000, (total + 50) // 100 % 100, (carpentry + 50) // 10000, (carpentry + 50) // 100 % 100, (net + 50) // 10000, (net + 50) // 100 % 100), chr(10) ORDER BY facade_id) AS text
-        FROM r WHERE image_id % 10 = 0 GROUP BY image_id""",
+        FROM r GROUP BY image_id""",
     "propagate_areas": f"""{duck("v_element")}, k AS (SELECT *, regexp_extract(label, '^([FU][0-9]+)', 1) AS key, CASE WHEN known THEN w_cm * h_cm END AS area_cm2 FROM v_element)
         SELECT element_id, key, coalesce(area_cm2, median(area_cm2) OVER (PARTITION BY facade_id, kind, key)) / 10000.0::DOUBLE AS area_m2 FROM k""",
 }

@@ -91,7 +91,7 @@ CUES = f"""{MEASURED}, v_facade AS ({duck("v_facade").split("v_facade AS (", 1)[
   lin AS (SELECT image_id, median(cue) AS px_per_m FROM fine JOIN mid USING (image_id) WHERE abs(cue - m) <= m * 0.35::DOUBLE GROUP BY image_id HAVING count(*) >= 2)"""
 QUERIES = {f.__name__: f for f in (calibrate_linear, area_scale, element_dims, missing_areas, facade_area_from_scale, scale_ratio_vote, page_geometry, signal_metrics, warnings)}
 METRICS = f"""{duck("v_facade", "v_element")}, {E_SQL},
-  f AS (SELECT facade_id AS image_id, facade_id % 3 > 0 AND total_cm2 > 0 AS area, facade_id % 4 = 0 AS socle, facade_id % 5 = 0 AS colour FROM v_facade WHERE facade_id % 7 <> 0),
+  f AS (SELECT facade_id AS image_id, facade_id % 3 > 0 AND total_cm2 > 0 AS area, facade_id % 4 = 0 AS socle, facade_id % 5 = 0 AS colour FROM v_facade),
   fs AS (SELECT image_id, count(*) FILTER (WHERE NOT colour) AS facades_total, count(*) FILTER (WHERE NOT colour AND area) AS facades_with_area, count(*) FILTER (WHERE socle) AS facades_with_socle_exclusion, count(*) FILTER (WHERE colour) AS color_facades FROM f GROUP BY image_id),
   es AS (SELECT image_id, count(*) FILTER (WHERE read AND kind = 'window') AS ocr_windows, count(*) FILTER (WHERE read AND kind = 'door') AS ocr_doors, count(*) FILTER (WHERE read AND area_m2 > 0) AS ocr_elements_with_area,
                 count(*) FILTER (WHERE read AND w > 60) AS elements_with_dimensions, count(*) FILTER (WHERE NOT read AND kind = 'window') AS color_windows, count(*) FILTER (WHERE NOT read AND kind = 'door') AS color_doors FROM e GROUP BY image_id),

@@ -67,7 +67,7 @@ ORACLES = {
     "label_keys": f"""{duck("v_element")} SELECT element_id, CASE WHEN regexp_matches(upper(label), '^[FU][_-]?[0-9]+') THEN regexp_extract(upper(label), '^([FU])[_-]?([0-9]+)', 1) || regexp_extract(upper(label), '^([FU])[_-]?([0-9]+)', 2) ELSE upper(label) END AS key,
         CASE label[1] WHEN 'F' THEN 'window' WHEN 'U' THEN 'door' END AS kind_read FROM v_element""",
     "door_signal": f"""{duck("v_element")} SELECT element_id, score % 3 <> 0 AND (regexp_matches(upper(label), '\\bU(?:SA)?[_ -]*[0-9]+\\b') OR score % 3 = 1 OR (known AND w_cm * h_cm / 10000.0::DOUBLE BETWEEN 0.5 AND 6.5)) AS is_door FROM v_element""",
-    "document_slugs": "SELECT doc_id, trim(regexp_replace(strip_accents(source || ' - ' || lang || ' - ' || substr(text, 1, 40)), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug FROM documents",
+    "document_slugs": "SELECT doc_id, trim(regexp_replace(strip_accents(concat_ws(' - ', source, lang, text)), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug FROM documents",
     "nearby_numbers": f"""{MEASURED}, p AS (SELECT a.token_id, b.token_id AS value_id, b.value, sqrt(((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))::DOUBLE) AS distance
         FROM m a JOIN m b ON a.image_id = b.image_id AND b.value BETWEEN 0.01 AND 200),
         k AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY distance, value_id) AS rank FROM p WHERE distance < 400)
