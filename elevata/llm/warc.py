@@ -13,9 +13,10 @@ one with the largest id is a response, the others revisit it.
 Defined results: a null payload is empty; rows that share the largest id of
 equal payloads are responses all of them; a null id is smaller than any other
 and where all ids of a group are null, all are responses; a null URL is
-written as an empty one; an empty table gives no archive and no row. Archives
-are reached by ``pyarrow.fs`` from the URI of the shared folder, which all
-executors must be able to open.
+written as an empty one; columns other than id, url and payload are not
+archived, whatever their names; an empty table gives no archive and no row.
+Archives are reached by ``pyarrow.fs`` from the URI of the shared folder, which
+all executors must be able to open.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import n_partitions, new_path, written
 
 #: A new archive is begun beyond so many bytes; ranges that are no further
 #: apart than GAP are read as one, up to READ_BYTES.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of archives that a task reads, on average.
+TASK_BYTES = 64 << 20
 #: A digest with at least one in so many of all rows is heavy: no more than
 #: this many can be, so they are broadcast.
 HEAVY_SHARE = 1000
@@ -47,6 +50,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     Digests that occur once need no partner, heavy ones are broadcast, and
     rows of neither are dealt out evenly by a salted key.
     """
+    pages = pages.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
     pages = pages.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     keys = pages.filter(F.octet_length("payload") >= least_bytes).select("id", "digest")
     repeated = written(keys.groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1"), "warc-repeated")
@@ -118,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
                         files.create_dir(root, recursive=True)
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out, at = files.open_output_stream(f"{root}/{name}", compression=None), 0
-                    page, url, revisits, body = page.as_py(), url.as_py() or "", revisits.as_py(), payload.as_py().encode()
+                    page, url, revisits, body = page.as_py(), url.as_py() or "", revisits.as_py(), (payload.as_py() or "").encode()
                     member = zlib.compressobj(1, wbits=31)
                     packed = member.compress(record("" if page is None else page, url, body, revisits, date)) + member.flush()
                     out.write(packed)
@@ -171,7 +175,11 @@ def read_archives(index: DataFrame, folder: str, keep_payload: bool = True) -> D
         if group:
             yield read(group)
 
-    spread = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # The index is tiny beside what it points at, so partitions are counted by
+    # the bytes to be read, not by those of the index.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(n_partitions(index.sparkSession), int(size // TASK_BYTES) + 1)
+    spread = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return spread.mapInArrow(run, schema)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def test_write_and_read(spark, monkeypatch):
     monkeypatch.setattr(w, "GAP_BYTES", 100)
     big, other = "<p>" + "é" * 900, "".join(chr(33 + i * 7 % 90) for i in range(2000))
     rows = [(1, "u1", big), (5, None, big), (3, "u3", big), (2, "u", "tiny"), (4, "u", "tiny"), (6, "u", None), (8, "u", other), (8, "u", other), (7, "u", other), (None, "u", other)]
-    pages = spark.createDataFrame(rows, "id long, url string, payload string").withColumn("payload", F.coalesce("payload", F.lit(""))).repartition(3)
+    pages = spark.createDataFrame(rows, "id long, url string, payload string").withColumn("digest", F.lit("own")).withColumn("key", F.lit(1)).repartition(3)
     folder = new_path(spark, "warc-test")
     index = w.write_archives(w.with_revisits(pages), folder)
     got = w.read_archives(index, folder).collect()
@@ -38,3 +39,18 @@ def test_write_and_read(spark, monkeypatch):
     assert some.count() == index.filter("length % 2 = 0").count()
     none = w.write_archives(w.with_revisits(pages.limit(0)), new_path(spark, "warc-none"))
     assert none.count() == 0 and w.read_archives(none, folder).count() == 0
+
+
+def test_very_long_payload(spark):
+    rng = random.Random(4)
+    body = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz<>/ é") for _ in range(3_000_000))
+    pages = spark.createDataFrame([(1, "u", body), (2, "u", body), (3, "u", "x")], "id long, url string, payload string")
+    folder = new_path(spark, "warc-long")
+    got = {r["id"]: r for r in w.read_archives(w.write_archives(w.with_revisits(pages), folder), folder).collect()}
+    assert got["2"]["payload"] == body and got["1"]["refers_to"] == "2" and got["1"]["payload_bytes"] == len(body.encode())
+
+
+def test_reading_is_dealt_over_tasks(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " * 50) for i in range(400)], "id long, url string, payload string")
+    folder = new_path(spark, "warc-tasks")
+    assert w.read_archives(w.write_archives(w.with_revisits(pages), folder), folder).rdd.getNumPartitions() > 1
