@@ -15,6 +15,7 @@ allowed; an empty table gives an empty table. All input columns are kept,
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its frequent lines, plus ``n_lines`` and ``n_dropped``.
 
@@ -38,7 +44,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     columns = docs.columns
-    tid, th, tgone, tbounds = (free_name(docs, f"_ld_{x}") for x in ("id", "hash", "gone", "bounds"))
+    tid, th, tgone, tdone = (free_name(docs, f"_ld_{x}") for x in ("id", "hash", "gone", "done"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
 
@@ -68,14 +74,19 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
     # Runs of kept lines between neighbouring dropped positions.
     joined = docs.withColumn(th, F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col(tid + "g")) & (F.col(th) == F.col(th + "g")), "left")
-    joined = joined.withColumn(n_lines, F.size(lines).cast("long")).withColumn(n_dropped, F.coalesce(F.size(tgone), F.lit(0)).cast("long"))
-    joined = joined.withColumn(tbounds, F.concat(F.array(F.lit(-1)), F.col(tgone), F.array(F.col(n_lines).cast("int"))))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(tgone)),
-        lambda i: F.slice(lines, F.get(tbounds, i) + 2, F.get(tbounds, i + 1) - F.get(tbounds, i) - 1),
-    )
-    kept = F.when(F.col(tgone).isNull(), text).otherwise(F.array_join(F.flatten(runs), "\n"))
-    return joined.withColumn(text_col, kept).select(*columns, n_lines, n_dropped)
+    # Lines and bounds are arguments of lambdas, so that no rule of the
+    # optimiser can have them worked out again for each run.
+    def assembled(ls: Column, bounds: Column) -> Column:
+        run = lambda i: F.slice(ls, F.get(bounds, i) + 2, F.get(bounds, i + 1) - F.get(bounds, i) - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), run)), "\n")
+
+    def result(ls: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), F.col(tgone), F.array(F.size(ls)))
+        kept = F.when(F.col(tgone).isNull(), text).otherwise(_let(bounds, lambda bs: assembled(ls, bs)))
+        return F.struct(F.size(ls).cast("long").alias("n"), kept.alias("kept"))
+
+    joined = joined.withColumn(tdone, _let(lines, result)).withColumn(n_dropped, F.coalesce(F.size(tgone), F.lit(0)).cast("long"))
+    return joined.withColumns({n_lines: F.col(f"{tdone}.n"), text_col: F.col(f"{tdone}.kept")}).select(*columns, n_lines, n_dropped)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,18 +96,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
-  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents)
+  SELECT r, doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
+  FROM (SELECT *, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos
+        FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents))
 ), keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), frequent AS (
-  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
 ), marked AS (
   SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
