@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,10 +19,14 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A temporary one is set only where the session names none, as in tests.
+    A temporary one is set only where the session names none and runs in one
+    process, as in tests; on a cluster the setting must be there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="elevata-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -133,62 +138,74 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 18
-_BASE = 0xD6E8FEB86659FD93
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_tables: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    """Powers of the base and of its inverse, for one block of positions."""
-    if not _tables:
-        for base in (_BASE, _BASE_INVERSE):
-            out = np.ones(_BLOCK, np.uint64)
-            n = 1
-            while n < _BLOCK:
-                out[n: 2 * n] = out[:n] * np.uint64(pow(base, n, 1 << 64))
-                n *= 2
-            _tables.append(out)
-    return _tables
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Longer spans are hashed by BLAKE2; places whose tokens are hashed at a time.
+_LONG, _PLACES = 1024, 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising mixer of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x * _STEP
     x = x ^ (x >> np.uint64(29))
     x = x * _MULT
     return x ^ (x >> np.uint64(32))
 
 
-class Hashes:
-    """Hashes of any byte span, from one prefix sum of a polynomial mod 2**64.
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers (zeros behind the end)."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    Equal bytes have equal hashes wherever they stand, in any buffer.
-    """
 
-    def __init__(self, raw: np.ndarray):
-        powers, _ = _powers()
-        n = len(raw)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        carry = np.uint64(0)
-        self.inverse = np.array([pow(_BASE_INVERSE, i, 1 << 64) for i in range(0, n + 1, _BLOCK)], np.uint64)
-        with np.errstate(over="ignore"):
-            for at in range(0, n, _BLOCK):
-                values = _BYTE[raw[at: at + _BLOCK]]
-                values *= powers[: len(values)]
-                values *= np.uint64(pow(_BASE, at, 1 << 64))
-                np.cumsum(values, out=values)
-                values += carry
-                self.prefix[at + 1: at + 1 + len(values)] = values
-                carry = values[-1]
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = self.prefix[ends] - self.prefix[starts]
-        h *= _powers()[1][starts & (_BLOCK - 1)]
-        h *= self.inverse[starts >> 18]
-        return mix(h + (ends - starts).astype(np.uint64) * _MULT)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    Eight bytes are mixed in at a time, so no texts are known that collide by
+    their structure, as there are for polynomials modulo 2**64.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _MULT + _STEP)
+    eight = eights(raw)
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        chunk = eight[at] & _KEPT[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ chunk) + _STEP
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG):
+        own = raw[starts[i]: ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little")
+    return out
+
+
+def token_hashes(raw: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of the ``width`` bytes from each place that has them: those
+    of two halves are joined, from eight bytes on."""
+    n = len(raw) - width + 1
+    out = np.empty(max(0, n), np.uint64)
+    eight = eights(raw)
+    low = _KEPT[min(width, 8)]
+    for at in range(0, n, _PLACES):
+        to = min(n, at + _PLACES)
+        have = min(width, 8)
+        h = mix((eight[at: to + width - have] & low) + _STEP)
+        while have < width:
+            further = min(have, width - have)
+            a, b = h[: len(h) - further], h[further:]
+            h = a * _MULT
+            h += b
+            h ^= h >> np.uint64(32)
+            h *= _STEP
+            h ^= h >> np.uint64(29)
+            have += further
+        out[at:to] = h
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

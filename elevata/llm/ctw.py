@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, give_back, mix, n_partitions, spans, trimmed, utf8_column, written
+from .common import chunked, fold_ascii, give_back, mix, n_partitions, span_hashes, spans, trimmed, utf8_column, written
 
 #: Bytes of context. A (context, byte) pair takes 8 * (DEPTH + 1) bits, and 16
 #: more number the documents of a piece.
@@ -59,7 +59,7 @@ def stream(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     the byte itself lowest."""
     folded = fold_ascii(raw)
     starts, ends = spans(~_BLANK[folded], offsets)
-    hashes = Hashes(folded).of(starts, ends)
+    hashes = span_hashes(folded, starts, ends)
     n_docs = len(offsets) - 1
     doc = np.searchsorted(offsets, starts, side="right") - 1 if len(starts) else np.zeros(0, np.int64)
     n_words = np.bincount(doc, minlength=n_docs)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, free_name, spans, trimmed, utf8_column
+from .common import chunked, fold_ascii, free_name, span_hashes, spans, trimmed, utf8_column
 
 #: Bytes of text in a shard, and of benchmark text that is searched at once.
 SHARD_BYTES, PHRASE_BYTES = 3 << 20, 8 << 20
@@ -188,7 +188,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Starts, ends and hashes of the words of all texts."""
     folded = fold_ascii(raw)
     starts, ends = spans(_WORD[folded], offsets)
-    return starts, ends, Hashes(folded).of(starts, ends)
+    return starts, ends, span_hashes(folded, starts, ends)
 
 
 class Phrases:

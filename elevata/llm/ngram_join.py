@@ -25,7 +25,9 @@ Defined results: fewer words than ``k`` make one shingle of all; a text
 without words (null, empty, blank) has none and links with nothing; rows that
 repeat are linked with each other (equal sets); rows with one id are one
 document; null ids are linked and ignored as representatives; an empty table
-gives an empty table. Fingerprints of shingles and sets have 64 bits.
+gives an empty table; columns but the id and the text are left out, and an id
+named like an added column gets no clash, as the added name has underscores
+then. Words, shingles and sets are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, mix, n_partitions, spans, trimmed, utf8_column, window_hashes, written
+from .common import chunked, fold_ascii, mix, n_partitions, span_hashes, spans, trimmed, utf8_column, window_hashes, written
 from .components import components
 
 #: A token in at least so many classes is frequent.
@@ -45,8 +47,8 @@ FREQUENT = 16
 #: Tokens in a chunk of a candidate group, on average; and classes of a large
 #: group against which all its chunks are linked first.
 CHUNK_TOKENS, PIVOTS = 150_000, 8
-#: Bytes of text whose shingles are taken at a time.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text whose shingles are taken at a time; rows of a batch of sets.
+BLOCK_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -56,7 +58,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     """Distinct shingle hashes, sorted within each document, and bounds."""
     folded = fold_ascii(raw)
     starts, ends = spans(~_BLANK[folded], offsets)
-    words = Hashes(folded).of(starts, ends)
+    words = span_hashes(folded, starts, ends)
     bounds = np.searchsorted(starts, offsets)
     n_docs, n_words = len(offsets) - 1, np.diff(bounds)
     every = window_hashes(words, k)
@@ -241,9 +243,14 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
         cuts = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
         ends = np.append(cuts[1:], len(cls))
         n = size[np.searchsorted(named, cls[cuts])]
-        for a, b, m in zip(*(x[100 * (ends - cuts) >= percent * n] for x in (cuts, ends, n)), strict=True):
+        enough = 100 * (ends - cuts) >= percent * n
+        cuts, ends, n = cuts[enough], ends[enough], n[enough]
+        rare = np.concatenate([[0], np.cumsum(count < FREQUENT)])
+        blobs = [token[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+        for at in range(0, len(cuts), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
             yield pa.RecordBatch.from_arrays(
-                [_longs(cls[a: a + 1]), pa.array([m], pa.int64()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([int(np.searchsorted(count[a:b], FREQUENT))], pa.int64())],
+                [_longs(cls[cuts[part]]), pa.array(n[part], pa.int64()), pa.array(blobs[part], pa.binary()), pa.array(rare[ends[part]] - rare[cuts[part]], pa.int64())],
                 names=["cls", "n", "tokens", "n_rare"],
             )
 
@@ -283,10 +290,10 @@ def _index(candidates: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for c, n, t, r in zip(*(batch.column(x).to_pylist() for x in ("cls", "n", "tokens", "n_rare")), strict=True):
-                s = signatures(n, np.frombuffer(t, np.uint64), r, percent)
-                yield pa.RecordBatch.from_arrays([_longs(s), pa.array(np.full(len(s), c), pa.int64())], names=["sig", "cls"])
+        for batch in chunked(batches, BLOCK_BYTES, "tokens"):
+            each = [signatures(n, np.frombuffer(t, np.uint64), r, percent) for n, t, r in zip(*(batch.column(x).to_pylist() for x in ("n", "tokens", "n_rare")), strict=True)]
+            cls = np.repeat(batch.column("cls").to_numpy(), [len(s) for s in each])
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate(each)), pa.array(cls, pa.int64())], names=["sig", "cls"])
 
     return candidates.select("cls", "n", "tokens", "n_rare").mapInArrow(trimmed(run), "sig long, cls long")
 
@@ -390,6 +397,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     """One row per row of ``docs``: the id, ``n_shingles``, ``component_id``
     (smallest id reachable by links of similarity >= ``percent`` / 100)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size_name, component_name = (name + "_" if name.lower() == id_col.lower() else name for name in ("n_shingles", "component_id"))
     rows = written(_documents(docs, k), "jaccard-documents")
     labels = components(jaccard_edges(docs, rows, k, percent))
     rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
@@ -398,7 +406,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     # Written, so that the join's sides are plain exchanges, which Spark can
     # split where many documents have one label.
     least = written(rows.groupBy("label").agg(F.min("id").alias("component_id")), "jaccard-least")
-    return rows.join(least, "label").select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    return rows.join(least, "label").select(F.col("id").alias(id_col), F.col("n_shingles").alias(size_name), F.col("component_id").alias(component_name))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

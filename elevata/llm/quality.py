@@ -14,6 +14,7 @@ rows are scored, over whole texts.
 
 Defined results: a null or empty text is one empty line and gets a score; a
 null label is no label; a document with several labels counts once for each;
+documents that share an id all count, within the bound;
 without any label of one of the two kinds every score is 0.5; rows that
 repeat give equal rows; an empty table gives an empty table.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, chunked, fold_ascii, free_name, mix, spans, trimmed, utf8_column
+from .common import chunked, fold_ascii, free_name, mix, span_hashes, spans, trimmed, utf8_column
 
 #: The bounded training sample.
 MAX_DOCS, MAX_LINES = 6000, 200
@@ -77,7 +78,7 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
     upper, lower, digit, blank, wide, stop, sign, pipe, call = (count(c[raw]) for c in _CLASSES)
     word_at, word_to = spans(~_BLANK[raw] & (raw != 10), offsets)
-    hashes = Hashes(fold_ascii(raw)).of(word_at, word_to)
+    hashes = span_hashes(fold_ascii(raw), word_at, word_to)
     line = np.searchsorted(starts, word_at, side="right") - 1
     n_words = np.bincount(line, minlength=len(starts)).astype(np.float64)
     again = np.zeros(len(hashes), bool)
@@ -89,7 +90,7 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     same = np.zeros(len(key), bool)
     same[1:] = key[order][1:] == key[order][:-1]
     seen = np.bincount(line[order[same]], minlength=len(starts))
-    whole = Hashes(raw).of(starts, ends)
+    whole = span_hashes(raw, starts, ends)
     twin = np.zeros(len(starts))
     twin[1:] = (whole[1:] == whole[:-1]) & (length[1:] > 0)
     twin[first[:-1]] = 0
@@ -260,6 +261,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             )
 
     found = texts.join(F.broadcast(sample), "i").select("i", "q", "t").mapInArrow(trimmed(lines), T.StructType([texts.schema["i"], T.StructField("q", T.IntegerType()), T.StructField("x", T.BinaryType()), T.StructField("n", T.BinaryType())]))
+    # Of documents that repeat a sampled id, too, no more than the bound come back.
+    found = found.orderBy(F.xxhash64("i"), "i", "q", F.xxhash64("x", "n")).limit(max_docs)
     got = sorted(((r["i"], r["q"], bytes(r["x"]), bytes(r["n"])) for r in found.collect()))
     length = [np.frombuffer(r[3], np.int64) for r in got]
     first = np.append(0, np.cumsum([len(x) for x in length])).astype(np.int64)

@@ -45,11 +45,11 @@ def corpus(seed, n):
     return out
 
 
-@pytest.mark.parametrize("length,group,lead", [(60, 2000, 100), (60, 2000, 15), (45, 3, 11), (45, 0, 11)])
-def test_against_brute_force(spark, monkeypatch, length, group, lead):
-    monkeypatch.setattr(sd, "GROUP_REGIONS", group)
+@pytest.mark.parametrize("length,bucket,lead", [(60, 4 << 20, 100), (60, 4 << 20, 15), (45, 3000, 11), (45, 200, 11), (5, 1000, 3)])
+def test_against_brute_force(spark, monkeypatch, length, bucket, lead):
+    monkeypatch.setattr(sd, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(sd, "LEAD", lead)
     monkeypatch.setattr(sd.anchors, "__defaults__", (lead,))
-    monkeypatch.setattr(sd.repeated_windows, "__defaults__", (lead,))
     monkeypatch.setattr(sd, "PIECE_BYTES", 3000)
     texts = corpus(length, 150) + [None, "", "short", "a" * 20000 + "b" + "a" * 9000]
     rows = [(i if i % 7 else None, t, i) for i, t in enumerate(texts)]
@@ -73,3 +73,25 @@ def test_minima():
     x = np.random.default_rng(0).integers(0, 50, 1000).astype(np.uint64)
     for w in (1, 7, 301, 1000, 1001):
         assert sd.window_minima(x, w).tolist() == [x[i: i + w].min() for i in range(1000 - w + 1)]
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    for length in (3, 8, 9, 20):
+        raw = rng.integers(97, 99, 4000).astype(np.uint8)
+        raw[1000:1400] = raw[3000:3400]
+        starts, group = np.arange(4000 - length + 1), rng.integers(0, 3, 4000 - length + 1).astype(np.uint64)
+        data = raw.tobytes()
+        n = Counter((int(g), data[i: i + length]) for i, g in zip(starts, group, strict=True))
+        want = [n[int(g), data[i: i + length]] > 1 for i, g in zip(starts, group, strict=True)]
+        assert sd.repeated_windows(raw, starts, length, group).tolist() == want
+    assert not len(sd.repeated_windows(raw[:0], starts[:0], 9, group[:0]))
+
+
+def test_many_repeated_rows(spark):
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    own, shared = text(900), text(700)
+    frame = spark.createDataFrame([(1, own)] * 40 + [(None, shared)] * 9 + [(2, shared + text(500)), (3, text(50))], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_bytes"], r["removed_spans"]) for r in sd.suffix_dedup(frame).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, 900, [[0, 900]])] * 40 + [(None, 700, [[0, 700]])] * 9 + [(2, 1200, [[0, 700]]), (3, 50, [])]))
