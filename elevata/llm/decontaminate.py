@@ -9,6 +9,12 @@ phrases (windows of consecutive words) are searched backwards, occurrences
 are located by walking to a sampled position, and the words that they cover
 are merged into removal spans.
 
+A benchmark of up to PHRASE_BYTES is broadcast. A larger one is written into
+the shared folder in blocks of about that size, and one stage searches all of
+them: a task holds the indexes of a few shards, each built once, and reads
+block after block. Then a shard's own words are its alphabet. Words are told
+apart by hashes of 64 bits.
+
 Defined results: a null or empty text has no words; an item with fewer words
 than the window, but not none, is one window, one without words is none; rows
 of the benchmark with one id are one item; an item without an id is listed as
@@ -25,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunked, fold_ascii, free_name, span_hashes, spans, trimmed, utf8_column
+from .common import chunked, fold_ascii, free_name, new_path, span_hashes, spans, trimmed, utf8_column
 
 #: Bytes of text in a shard, and of benchmark text that is searched at once.
 SHARD_BYTES, PHRASE_BYTES = 3 << 20, 8 << 20
 #: Every so many positions of a shard have a sampled suffix position.
 SAMPLE_STEP = 8
+#: Shards whose indexes a task holds while it reads the blocks of a large
+#: benchmark.
+SHARDS = 8
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = True
@@ -230,44 +239,62 @@ class Phrases:
         self.owner = pairs[1]
         self.owner_at = np.searchsorted(pairs[0], np.arange(len(self.rows) + 1))
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """Symbols of words; 0 for words of no phrase."""
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at + 1, 0).astype(np.int32)
+
+def symbols_of(alphabet: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Symbols of words; 0 for words outside the sorted alphabet."""
+    if not len(alphabet):
+        return np.zeros(len(hashes), np.int32)
+    at = np.searchsorted(alphabet, hashes)
+    at[at == len(alphabet)] = 0
+    return np.where(alphabet[at] == hashes, at + 1, 0).astype(np.int32)
 
 
-def search_shard(phrases: Phrases, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each occurrence: its window's row, first word, and document.
+class Shard:
+    """The index of a run of documents over an alphabet of word hashes.
 
     ``bounds``: where the documents' words start and end.
     """
-    none = np.zeros(0, np.int64)
-    if not len(phrases.rows) or not len(hashes):
-        return none, none, none
-    n_docs = len(bounds) - 1
-    symbols = phrases.symbols(hashes)
-    # A separator after each document, then one for each run of separators.
-    ends = np.zeros(len(hashes) + n_docs, np.int32)
-    place = np.arange(len(hashes)) + np.repeat(np.arange(n_docs), np.diff(bounds))
-    ends[place] = symbols
-    word = np.full(len(ends), -1, np.int64)
-    word[place] = np.arange(len(hashes))
-    keep = ends > 0
-    keep[0] |= True
-    keep[1:] |= ends[:-1] > 0
-    ends, word = ends[keep], word[keep]
-    if ends[-1] != 0:
-        ends, word = np.append(ends, 0), np.append(word, -1)
-    index = FMIndex(ends, phrases.size)
-    lo, hi = index.search(phrases.rows, phrases.lengths)
-    n = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(n)), n)
-    if not len(which):
-        return none, none, none
-    row = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-    at = word[index.locate(row)]
-    return which, at, np.searchsorted(bounds, at, side="right") - 1
+
+    def __init__(self, alphabet: np.ndarray, hashes: np.ndarray, bounds: np.ndarray):
+        self.alphabet, self.bounds, self.index = alphabet, bounds, None
+        if not len(alphabet) or not len(hashes):
+            return
+        n_docs = len(bounds) - 1
+        symbols = symbols_of(alphabet, hashes)
+        # A separator after each document, then one for each run of separators.
+        ends = np.zeros(len(hashes) + n_docs, np.int32)
+        place = np.arange(len(hashes)) + np.repeat(np.arange(n_docs), np.diff(bounds))
+        ends[place] = symbols
+        word = np.full(len(ends), -1, np.int64)
+        word[place] = np.arange(len(hashes))
+        keep = ends > 0
+        keep[0] |= True
+        keep[1:] |= ends[:-1] > 0
+        ends, word = ends[keep], word[keep]
+        if ends[-1] != 0:
+            ends, word = np.append(ends, 0), np.append(word, -1)
+        self.word = word
+        self.index = FMIndex(ends, len(alphabet) + 1)
+
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each occurrence: its window's row, first word, and document."""
+        none = np.zeros(0, np.int64)
+        if self.index is None or not len(phrases.rows):
+            return none, none, none
+        # The phrases' symbols in this alphabet; those with other words occur
+        # nowhere here.
+        here = np.append(0, symbols_of(self.alphabet, phrases.words))[phrases.rows]
+        able = np.flatnonzero(((here > 0) | (phrases.rows == 0)).all(axis=1))
+        if not len(able):
+            return none, none, none
+        lo, hi = self.index.search(here[able], phrases.lengths[able])
+        n = np.maximum(hi - lo, 0)
+        which = np.repeat(able, n)
+        if not len(which):
+            return none, none, none
+        row = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        at = self.word[self.index.locate(row)]
+        return which, at, np.searchsorted(self.bounds, at, side="right") - 1
 
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -278,49 +305,96 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str, spans_col: str, items_col: str, words_col: str, first: bool) -> DataFrame:
-    """Search one block of items; add to what earlier blocks have found."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    added = [T.StructField(words_col, T.LongType()), T.StructField(items_col, T.ArrayType(T.StringType())), T.StructField(spans_col, T.ArrayType(T.ArrayType(T.LongType())))]
-    schema = T.StructType([*docs.schema.fields, *added]) if first else docs.schema
-    names = schema.fieldNames()
+class _Found:
+    """What occurs in the documents of a batch."""
 
-    def run(batches: Iterator) -> Iterator:
+    def __init__(self, batch, text: str):
+        self.batch = batch
+        raw, self.offsets = utf8_column(batch.column(text))
+        self.starts, self.ends, self.hashes = words_of(raw, self.offsets)
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.items: list[list[str]] = [[] for _ in range(batch.num_rows)]
+        self.spans: list[list[list[int]]] = [[] for _ in range(batch.num_rows)]
+
+    def add(self, phrases: Phrases, which: np.ndarray, at: np.ndarray, doc: np.ndarray) -> None:
+        if not len(which):
+            return
+        starts, ends, bounds, offsets = self.starts, self.ends, self.bounds, self.offsets
+        n_own = phrases.owner_at[which + 1] - phrases.owner_at[which]
+        own = phrases.owner[np.repeat(phrases.owner_at[which] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())]
+        pairs = np.unique(np.stack([np.repeat(doc, n_own), own]), axis=1)
+        hit = covered(len(starts), at, phrases.lengths[which])
+        edge = np.zeros(len(starts) + 1, bool)
+        edge[1:-1] = hit[1:] != hit[:-1]
+        edge[0], edge[-1] = True, True
+        edge[bounds] = True
+        cuts = np.flatnonzero(edge)
+        runs = cuts[:-1][hit[cuts[:-1]]]
+        stops = cuts[1:][hit[cuts[:-1]]]
+        for d in np.unique(doc):
+            mine = pairs[1, np.searchsorted(pairs[0], d): np.searchsorted(pairs[0], d, side="right")]
+            self.items[d] = sorted({*self.items[d], *(phrases.ids[i] for i in mine)})
+            a, b = np.searchsorted(runs, bounds[d]), np.searchsorted(runs, bounds[d + 1])
+            new = [[int(x - bounds[d]), int(y - bounds[d]), int(starts[x] - offsets[d]), int(ends[y - 1] - offsets[d])] for x, y in zip(runs[a:b], stops[a:b], strict=True)]
+            self.spans[d] = _merged([*self.spans[d], *new])
+
+    def rows(self, names: list[str]):
         import pyarrow as pa
 
+        added = [pa.array(np.diff(self.bounds), pa.int64()), pa.array(self.items, pa.list_(pa.string())), pa.array(self.spans, pa.list_(pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays([*self.batch.columns, *added], names=names)
+
+
+def _search_broadcast(items: list[tuple[str, str]], window: int, text: str, names: list[str], spark: SparkSession):
+    shared = spark.sparkContext.broadcast(items)
+
+    def run(batches: Iterator) -> Iterator:
         phrases = Phrases(shared.value, window)
         for batch in chunked(batches, SHARD_BYTES, text):
-            raw, offsets = utf8_column(batch.column(text))
-            starts, ends, hashes = words_of(raw, offsets)
-            bounds = np.searchsorted(starts, offsets)
-            which, at, doc = search_shard(phrases, hashes, bounds)
-            n = batch.num_rows
-            old_items = [[] for _ in range(n)] if first else batch.column(items_col).to_pylist()
-            old_spans = [[] for _ in range(n)] if first else batch.column(spans_col).to_pylist()
-            if len(which):
-                n_own = phrases.owner_at[which + 1] - phrases.owner_at[which]
-                own = phrases.owner[np.repeat(phrases.owner_at[which] - (np.cumsum(n_own) - n_own), n_own) + np.arange(n_own.sum())]
-                pairs = np.unique(np.stack([np.repeat(doc, n_own), own]), axis=1)
-                hit = covered(len(starts), at, phrases.lengths[which])
-                edge = np.zeros(len(starts) + 1, bool)
-                edge[1:-1] = hit[1:] != hit[:-1]
-                edge[0], edge[-1] = True, True
-                edge[bounds] = True
-                cuts = np.flatnonzero(edge)
-                runs = cuts[:-1][hit[cuts[:-1]]]
-                stops = cuts[1:][hit[cuts[:-1]]]
-                for d in np.unique(doc):
-                    mine = pairs[1, np.searchsorted(pairs[0], d): np.searchsorted(pairs[0], d, side="right")]
-                    old_items[d] = sorted({*old_items[d], *(phrases.ids[i] for i in mine)})
-                    a, b = np.searchsorted(runs, bounds[d]), np.searchsorted(runs, bounds[d + 1])
-                    new = [[int(x - bounds[d]), int(y - bounds[d]), int(starts[x] - offsets[d]), int(ends[y - 1] - offsets[d])] for x, y in zip(runs[a:b], stops[a:b], strict=True)]
-                    old_spans[d] = _merged([*old_spans[d], *new])
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            out = [pa.array(np.diff(bounds), pa.int64()), pa.array(old_items, pa.list_(pa.string())), pa.array(old_spans, pa.list_(pa.list_(pa.int64())))]
-            columns = columns + out if first else columns[:-3] + out
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            found = _Found(batch, text)
+            found.add(phrases, *Shard(phrases.words, found.hashes, found.bounds).search(phrases))
+            yield found.rows(names)
 
-    return docs.mapInArrow(trimmed(run), schema)
+    return run
+
+
+def _search_blocks(folder: str, n_blocks: int, window: int, text: str, names: list[str]):
+    def block(files, root: str, k: int) -> list[tuple[str, str]]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        out = []
+        for each in files.get_file_info(fs.FileSelector(f"{root}/block={k}", allow_not_found=True)):
+            if each.path.endswith(".parquet"):
+                with files.open_input_file(each.path) as source:
+                    table = pq.read_table(source, columns=["i", "t"])
+                out += zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True)
+        return out
+
+    def searched(held: list[_Found], files, root: str) -> Iterator:
+        shards = [Shard(np.unique(f.hashes), f.hashes, f.bounds) for f in held]
+        for k in range(n_blocks):
+            if items := block(files, root, k):
+                phrases = Phrases(items, window)
+                for found, shard in zip(held, shards, strict=True):
+                    found.add(phrases, *shard.search(phrases))
+        for found in held:
+            yield found.rows(names)
+
+    def run(batches: Iterator) -> Iterator:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        held = []
+        for batch in chunked(batches, SHARD_BYTES, text):
+            held.append(_Found(batch, text))
+            if len(held) == SHARDS:
+                yield from searched(held, files, root)
+                held = []
+        if held:
+            yield from searched(held, files, root)
+
+    return run
 
 
 def _merged(runs: list[list[int]]) -> list[list[int]]:
@@ -340,19 +414,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     window occurs) and ``removal_spans`` (merged runs of hit words, each
     [first word, end word, first byte, end byte] in the UTF-8 text).
 
-    The benchmark is searched in blocks of a bounded size, one after the
-    other, so that what is broadcast doesn't grow. Added names get
-    underscores where they clash.
+    What is broadcast, or read by a task at once, doesn't grow with the
+    benchmark. Added names get underscores where they clash.
     """
+    spark = docs.sparkSession
     n_words, items_col, spans_col = (free_name(docs, c) for c in ("n_words", "items", "removal_spans"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     n_blocks = int(size // PHRASE_BYTES) + 1
-    out = docs
-    for k in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        out = _pass(out, [(r[0], r[1]) for r in block.collect()], window, text_col, spans_col, items_col, n_words, k == 0)
-    return out
+    added = [T.StructField(n_words, T.LongType()), T.StructField(items_col, T.ArrayType(T.StringType())), T.StructField(spans_col, T.ArrayType(T.ArrayType(T.LongType())))]
+    schema = T.StructType([*docs.schema.fields, *added])
+    if n_blocks == 1:
+        run = _search_broadcast([(r[0], r[1]) for r in items.collect()], window, text_col, schema.fieldNames(), spark)
+    else:
+        folder = new_path(spark, "benchmark-blocks")
+        items.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n_blocks)).cast("int")).write.partitionBy("block").parquet(folder)
+        run = _search_blocks(folder, n_blocks, window, text_col, schema.fieldNames())
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def remove_spans(found: DataFrame, text_col: str = "text", spans_col: str = "removal_spans") -> DataFrame:

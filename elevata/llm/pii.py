@@ -5,14 +5,21 @@ calendar). Each becomes an index into the set of all values of its format, is
 permuted there by a keyed Feistel network, and is written back in the same
 format, so equal values stay equal in all documents and no value stays as it
 is: the permutation is the network's inverse after a keyed step after the
-network, a single cycle through all indices. Dates that mean the same day in
-different notations become the same other day.
+network, a single cycle through all indices. Dates and IPv6 addresses that mean
+the same in different notations become the same other one.
 
 Kinds: e-mail addresses (letters and digits of the local part), payment card
-numbers (Luhn check digit kept right), telephone numbers, IPv4 addresses,
-social security numbers, IBANs (check digits kept right), dates, and keys and
-secrets (``AKIA...`` and long hexadecimal values of password, token and
-secret assignments).
+numbers (Luhn check digit kept right), telephone numbers, IPv4 and IPv6
+addresses (the latter with three written groups at least), social security
+numbers, IBANs (check digits kept right), dates with years of four digits (in
+digits, or with the name of the month in English, German, French or Spanish),
+and keys and secrets: ``AKIA...``, and the values of password, token, secret
+and key assignments that are hexadecimal (12 signs at least) or have letters
+and digits (6 signs at least for passwords, 12 for the others). No value is too
+long: long ones are permuted in blocks, each under the signs before it. Dates
+of the years 1900 to 2099 stay within these years, others outside them; days
+behind the 12th stay behind it, so that no notation turns into another. Dates
+with years of two digits stay, as they may mean several days.
 
 Defined results: a null text stays null; an empty one empty; a text without
 such values is returned as it is; where findings overlap the one that begins
@@ -27,6 +34,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -39,10 +47,23 @@ from pyspark.sql import types as T
 from .common import free_name, trimmed
 
 ROUNDS = 8
-KINDS = ("email", "card", "phone", "ipv4", "ssn", "iban", "date", "secret")
+KINDS = ("email", "card", "phone", "ipv4", "ipv6", "ssn", "iban", "date", "secret")
+#: Signs of a value that are permuted at a time.
+BLOCK = 64
 
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 FIRST_DAY, N_DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
+LAST_DAY = datetime.date.max.toordinal()
+
+#: Names of the months.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+MONTH_NUMBERS = {land: {name.lower(): i + 1 for i, name in enumerate(names)} for land, names in MONTHS.items()}
 
 
 class Feistel:
@@ -106,16 +127,27 @@ def _refill(shape: str, signs: str, keep: Callable[[str], bool]) -> str:
 
 
 class Pseudonyms:
-    """Finds personal values and gives their pseudonyms under a key."""
+    """Finds personal values and gives their pseudonyms under a key; with
+    ``back``, the values of pseudonyms."""
 
-    def __init__(self, key: bytes, kinds: tuple[str, ...] = KINDS):
+    def __init__(self, key: bytes, kinds: tuple[str, ...] = KINDS, back: bool = False):
         self.key = key
         self.kinds = kinds
+        self.back = back
         self._network = lru_cache(100_000)(lambda tweak, size: Feistel(key, tweak, size))
         self._known = lru_cache(200_000)(self._pseudonym)
 
     def _mixed(self, tweak: str, signs: str, alphabets: list[str], back: bool) -> str:
         """Permutes a string whose i-th sign is from the i-th alphabet."""
+        out, before = [], hashlib.blake2b(digest_size=16)
+        for at in range(0, len(signs), BLOCK):
+            part = signs[at: at + BLOCK]
+            here = f"{tweak}+{before.hexdigest()}" if at else tweak
+            out.append(self._block(here, part, alphabets[at: at + BLOCK], back))
+            before.update((out[-1] if back else part).encode())
+        return "".join(out)
+
+    def _block(self, tweak: str, signs: str, alphabets: list[str], back: bool) -> str:
         index = 0
         for c, a in zip(signs, alphabets, strict=True):
             index = index * len(a) + a.index(c)
@@ -169,6 +201,17 @@ class Pseudonyms:
         index = int.from_bytes(bytes(map(int, parts)), "big")
         return ".".join(map(str, self._network("ipv4", 1 << 32).shifted(index, back).to_bytes(4, "big")))
 
+    def ipv6(self, value: str, back: bool = False) -> str | None:
+        try:
+            old = ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        if not any(c in DIGITS for c in value) or sum(map(bool, value.split(":"))) < 3:
+            return None
+        new = ipaddress.IPv6Address(self._network("ipv6", 1 << 128).shifted(int(old), back))
+        shown = new.exploded if len(value) == 39 else new.compressed
+        return shown.upper() if any(c in UPPER for c in value) else shown
+
     def ssn(self, value: str, back: bool = False) -> str | None:
         area, group, serial = map(int, value.split("-"))
         if area in (0, 666) or area > 899 or not group or not serial:
@@ -187,7 +230,41 @@ class Pseudonyms:
         body = self._by_class(f"iban:{signs[:2]}", signs[4:], back)
         return _refill(value, f"{signs[:2]}{check(signs[:2], body):02}{body}", lambda c: not c.isspace())
 
+    def _other_day(self, year: int, month: int, day: int, back: bool) -> datetime.date | None:
+        try:
+            index = datetime.date(year, month, day).toordinal() - FIRST_DAY
+        except ValueError:
+            return None
+        near = 0 <= index < N_DAYS
+        if not near:  # numbered behind each other, without those years
+            index = index + FIRST_DAY - 1 if index < 0 else index + FIRST_DAY - 1 - N_DAYS
+        network = self._network("date", N_DAYS) if near else self._network("far date", LAST_DAY - N_DAYS)
+        while True:
+            index = network.shifted(index, back)
+            at = index + FIRST_DAY if near else index + 1 if index < FIRST_DAY - 1 else index + 1 + N_DAYS
+            new = datetime.date.fromordinal(at)
+            if (new.day > 12) == (day > 12):
+                return new
+
+    def _named_date(self, value: str, back: bool) -> str | None:
+        """A date with the name of its month; names of several languages are
+        taken for those of the notation's."""
+        first, sep, second, sep2, year = NAMED.fullmatch(value).groups()
+        day, name = (first, second) if first[0] in DIGITS else (second, first)
+        order = ["de", "en", "short"] if sep.startswith(".") else ["fr", "es", "en", "short", "de"] if name[0].islower() else ["en", "short", "de", "fr", "es"]
+        land = next((x for x in [*order, "fr", "es"] if name.lower() in MONTH_NUMBERS[x]), None)
+        new = self._other_day(int(year), MONTH_NUMBERS[land][name.lower()], int(day), back) if land else None
+        if new is None:
+            return None
+        shown = MONTHS[land][new.month - 1]
+        shown = shown.upper() if name.isupper() else shown.lower() if name[0].islower() else shown[0].upper() + shown[1:]
+        number = f"{new.day:0{len(day)}}" if day[0] == "0" else str(new.day)
+        parts = (number, shown) if first is day else (shown, number)
+        return f"{parts[0]}{sep}{parts[1]}{sep2}{new.year:04}"
+
     def date(self, value: str, back: bool = False) -> str | None:
+        if not value[-1].isdigit() or any(c.isalpha() for c in value):
+            return self._named_date(value, back)
         a, sep, b, sep2, c = re.fullmatch(r"(\d+)([-/.])(\d+)([-/.])(\d+)", value, re.ASCII).groups()
         if sep != sep2:
             return None
@@ -197,24 +274,32 @@ class Pseudonyms:
             order, year, month, day = ("mdy", c, a, b) if int(b) > 12 else ("dmy", c, b, a)
         else:
             return None
-        try:
-            index = datetime.date(int(year), int(month), int(day)).toordinal() - FIRST_DAY
-        except ValueError:
-            return None
-        if not 0 <= index < N_DAYS:
+        new = self._other_day(int(year), int(month), int(day), back)
+        if new is None:
             return None
-        new = datetime.date.fromordinal(self._network("date", N_DAYS).shifted(index, back) + FIRST_DAY)
         wide = 2 if len(month) == 2 and len(day) == 2 else 1
-        own = {"y": str(new.year), "m": f"{new.month:0{wide}}", "d": f"{new.day:0{wide}}"}
+        own = {"y": f"{new.year:04}", "m": f"{new.month:0{wide}}", "d": f"{new.day:0{wide}}"}
         return sep.join(own[x] for x in order)
 
     def secret(self, value: str, back: bool = False) -> str | None:
         if value.startswith("AKIA"):
             return "AKIA" + self._mixed("akia", value[4:], [UPPER + DIGITS] * (len(value) - 4), back)
-        return self._mixed("hex", value, [HEX] * len(value), back)
+        named, sep, own = re.fullmatch(r"(?is)([a-z]+[_-]?[a-z]*)([ \t]*[=:][ \t]*[\"']?)(.*)", value).groups()
+        letters, digits = any(c in LOWER + UPPER for c in own), any(c in DIGITS for c in own)
+        alphabet = next((a for a in (HEX, HEX.upper()) if letters and len(own) >= 12 and all(c in a for c in own)), None)
+        if alphabet is None and not (digits and (len(own) >= 12 or letters and len(own) >= 6 and named[0] in "pP")):
+            return None
+        new = own
+        while True:  # on to a value that is read alike
+            new = self._by_class("secret", new, back) if alphabet is None else self._mixed(alphabet, new, [alphabet] * len(new), back)
+            if alphabet is not None and any(c in LOWER + UPPER for c in new):
+                break
+            if alphabet is None and not (letters and len(new) >= 12 and any(all(c in a for c in new) for a in (HEX, HEX.upper()))):
+                break
+        return f"{named}{sep}{new}"
 
     def _pseudonym(self, kind: str, value: str) -> str | None:
-        return getattr(self, kind)(value)
+        return getattr(self, kind)(value, self.back)
 
     def _ibans(self, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, str]]:
         """A match may hold words behind the IBAN, or begin before it: shorter
@@ -314,19 +399,27 @@ IBAN_SIGNS = {
         29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
     }.items() for land in lands.split()
 }
+_names = "|".join(sorted({re.escape(n) for names in MONTHS.values() for n in names}, key=len, reverse=True))
+#: 12 March 2024, 12. März 2024, 12 de marzo de 2024; March 12, 2024.
+NAMED_DAY, NAMED_MONTH = (
+    rf"[0-9]{{1,2}}(?:\.? | de )(?i:{_names})(?:\.?,? | de )[0-9]{{4}}", rf"(?i:{_names})\.? [0-9]{{1,2}},? [0-9]{{4}}",
+)
+NAMED = re.compile(rf"(?i)([0-9]{{1,2}}|(?:{_names}))(\.? | de )((?:{_names})|[0-9]{{1,2}})(\.?,? | de )([0-9]{{4}})")
 #: Kind, what a text must hold for the kind to be looked for, the pattern (its
 #: group is the value where it has one). All run in linear time.
 PATTERNS = [
-    ("email", _pattern("@"), _pattern(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")),
+    ("email", _pattern("@"), _pattern(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")),
     ("card", _digit, _pattern(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")),
     ("phone", _digit, _pattern(r"(?<![\w.+-])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![\w-])")),
     ("phone", _pattern(r"\+[0-9]"), _pattern(r"(?<![\w.+-])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![\w-])")),
     ("ipv4", _digit, _pattern(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")),
+    ("ipv6", _pattern("[0-9A-Fa-f]:[0-9A-Fa-f:]"), _pattern(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.[0-9])")),
     ("ssn", _digit, _pattern(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", _digit, _pattern(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("date", _digit, _pattern(r"(?<![\w./-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![\w/-]|\.[0-9])")),
+    ("date", _digit, re.compile(rf"(?<![\w.,/-])(?:{NAMED_DAY}|{NAMED_MONTH})(?![\w/-])")),
     ("secret", _pattern("AKIA"), _pattern(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", _pattern("(?i)password|passwd|token|secret|api_?key"), _pattern(r"(?i:password|passwd|token|secret|api_?key)[ \t]{0,4}[=:][ \t]{0,4}[\"']?([0-9a-f]{12,128})(?![0-9A-Za-z])")),
+    ("secret", _pattern("(?i)passw(?:or)?d|token|secret|api[_-]?key"), _pattern(r"(?i:passw(?:or)?d|token|secret|api[_-]?key)[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9](?:[A-Za-z0-9!#$%&*+./=?@^_~-]*[A-Za-z0-9])?(?![0-9A-Za-z])")),
 ]
 
 
@@ -359,6 +452,23 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds: tup
     return docs.mapInArrow(trimmed(run), schema)
 
 
+def restored(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` with the values of pseudonyms in place of these; short names
+    of months may come back written in full (May is both)."""
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        values = Pseudonyms(key, back=True)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[place] = pa.array([values.replace(t)[0] if t else t for t in columns[place].to_pylist()], columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = pseudonymise(docs, b"elevata demonstration key")

@@ -76,10 +76,15 @@ def test_blocks_of_items(spark, monkeypatch):
     import elevata.llm.decontaminate as d
 
     monkeypatch.setattr(d, "PHRASE_BYTES", 60)
-    items = [(i, f"w{i} x y z w{i}") for i in range(9)]
-    docs = ["w1 x y z w1 x y z w1", "w2 x y z", "q w8 x y z w8 w3 x y z w3"]
+    monkeypatch.setattr(d, "SHARD_BYTES", 40)
+    monkeypatch.setattr(d, "SHARDS", 3)
+    items = [(i, f"w{i} x y z w{i}") for i in range(9)] + [(None, "w1 x y z"), (77, None), (78, "x y")]
+    docs = ["w1 x y z w1 x y z w1", "w2 x y z", "q w8 x y z w8 w3 x y z w3", None, "", "..."] + [f"a b w{i} x y z w{i}, c" for i in range(60)]
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontaminate(frame, bench, 4).collect()}
+    out = decontaminate(frame, bench, 4)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(docs) and decontaminate(frame.limit(0), bench, 4).count() == 0
     for i, (n, hit, found) in enumerate(brute(docs, items, 4)):
         assert (got[i]["n_words"], sum(b - a for a, b, _, _ in got[i]["removal_spans"]), got[i]["items"]) == (n, hit, found)
