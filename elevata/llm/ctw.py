@@ -20,8 +20,12 @@ each distinct pair that it holds, and adds up.
 
 Defined results: a null or empty text is the end sign alone; training on no
 document gives one half to every decision; null ids may be scored and are not
-trained on; rows that repeat give equal rows; an empty table gives an empty
-table. Words are told apart by 64-bit hashes for the word counts.
+trained on; rows that repeat are scored once and give equal rows; an empty
+table gives an empty table; columns but the id and the text are left out, and
+an id named like an added column keeps its name, the added one getting an
+underscore. Words are told apart by 64-bit hashes for the word counts. DEPTH
+is bounded by 64-bit keys: five bytes of context, the byte, and 16 bits for the
+documents of a piece.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ DEPTH = 5
 PIECE_BYTES, BLOCK_BYTES = 3 << 19, 5 << 20
 #: Distinct pairs that a counting task holds before it sends them.
 HELD_PAIRS = 3_000_000
+#: Copies of a row that are written out at a time.
+COPIES = 10_000
 END = 10
 
 _BLANK = np.zeros(256, bool)
@@ -374,7 +380,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     total = slim.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n_blocks = int(total // BLOCK_BYTES) + 1
-    slim = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
+    # Rows that repeat are one row with a count: however many there are, a
+    # block holds them once.
+    slim = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int")).repartition("block")
+    slim = slim.groupBy("block", "id", "text").agg(F.count("*").alias("copies"))
     n_docs, n_tokens, n_words = model.n_docs, model.n_tokens, model.n_words
 
     def parts(table):
@@ -422,7 +431,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for bucket, block, x in asked[kind]:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([values[np.searchsorted(every, x)].tobytes()], pa.binary())], names=["block", "kind", "bucket", "found"])
 
-    schema = T.StructType([slim.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "bits_per_byte"))])
+    schema = T.StructType([slim.schema["id"], *(T.StructField(c, T.LongType()) for c in ("copies", "n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "bits_per_byte"))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -450,7 +459,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             known = np.bincount(doc, weights=values[1][at] > 0, minlength=n) + (n_docs > 0)
             base = np.bincount(doc, weights=least[at], minlength=n) + end
             out.append(pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.bincount(doc, minlength=n) + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(nats / log(10)), pa.array(-nats / log(2) / size)],
+                [batch.column("id"), batch.column("copies"), pa.array(np.bincount(doc, minlength=n) + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(nats / log(10)), pa.array(-nats / log(2) / size)],
                 schema=arrow,
             ))
         del own, pairs, words, values, buckets_of
@@ -459,7 +468,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     asked = slim.groupBy("block").applyInArrow(ask, ASKED)
     found = asked.union(model.counts).repartitionById(buckets, F.col("bucket")).mapInArrow(trimmed(answer), "block int, kind int, bucket int, found binary")
-    return slim.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(add_up, schema).withColumnRenamed("id", id_col)
+    scored = slim.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(add_up, schema)
+    last = F.col("copies") - 1
+    scored = scored.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(last / COPIES))))
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, F.least(last, F.col("part") * COPIES + COPIES - 1))))
+    added = [F.col(c).alias(c + "_" if c == id_col.lower() else c) for c in schema.fieldNames()[2:]]
+    return scored.select(F.col("id").alias(id_col), *added)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -114,3 +114,15 @@ def test_held_out_beats_single_words(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_repeated_rows_are_scored_once(spark, monkeypatch):
+    import elevata.llm.ctw as ctw
+
+    monkeypatch.setattr(ctw, "COPIES", 7)
+    rows = [(1, "a b a")] * 30 + [(None, "same")] * 15 + [(2, None), (2, ""), (3, "b")]
+    docs = spark.createDataFrame(rows, "score long, text string")
+    out = ctw.score(docs, ctw.fit(docs), id_col="score").collect()
+    assert len(out) == len(rows)
+    assert len({tuple(r) for r in out}) == 4 and sum(r["score"] == 1 for r in out) == 30 and sum(r["score"] is None for r in out) == 15
+    assert all(r["score_"] < 0 for r in out)
