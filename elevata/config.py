@@ -22,11 +22,18 @@ BORDERLINE_TOP_SPAN, BORDERLINE_MAX_OPENINGS, SPARSE_MAX_OPENINGS = 0.08, 4, 1
 AREA_BOUNDS = {"window": (0.15, 15.0), "door": (0.5, 6.5), "other": (0.01, 5000.0)}
 WIDTH_BOUNDS = {"window": (0.2, 8.0), "door": (0.5, 5.0), "other": (0.05, 50.0)}
 HEIGHT_BOUNDS = {"window": (0.2, 5.0), "door": (1.4, 5.0), "other": (0.05, 50.0)}
+OCR_SIZE_BOUNDS = {"window": (0.2, 4.5), "door": (0.6, 3.5), "facade": (0.5, 100.0), "other": (0.2, 50.0)}
 OCR_AREA_BOUNDS = {"window": (0.1, 15.0), "door": (0.5, 6.5), "facade": (1.0, 5000.0), "other": (0.05, 5000.0)}
 
 # Distances in pixels.
 TITLE_DISTANCE, FACADE_DISTANCE, WINDOW_DISTANCE, DOOR_DISTANCE, ELEMENT_DISTANCE = 500, 600, 220, 240, 80
 SCALE_TOKEN_DISTANCE, METRIC_DISTANCE = 140, 80
+#: A detected door without a sign of one counts up to here from a read door.
+SIGNLESS_DOOR_DISTANCE = 90
+
+# Grey level of the border from which a page counts as white, and the ratio
+# that is assumed where none is read.
+WHITE_BORDER, USUAL_RATIO = 240.0, 100
 
 # Scale ratios that drawings use; inches in a metre; native page resolution.
 COMMON_RATIOS = (20, 25, 50, 75, 100, 125, 200, 250)

@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that qualify a facade title.
-TITLE_WORDS = ("FATADA", "PRINCIPAL", "LATERAL", "POSTERIOR", "SPATE", "STANGA", "DREAPTA", "NORD", "SUD", "EST", "VEST")
+#: Words that make a facade's text a title.
+TITLE_WORDS = ("PRINCIPALA", "PRINCIPAL", "POSTERIOARA", "POSTERIOR", "LATERALA", "LATERAL", "STANGA", "DREAPTA", "STINGA")
+#: Patterns of texts that label a region.
+LABELS = ("FATADA", r"F\d+", r"U\d+", "PRINCIPALA", "POSTERIOARA", "LATERALA", "STANGA", "DREAPTA")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -19,9 +21,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def restore_decimal(value: Column) -> Column:
-    """A number whose decimal point was lost, by its count of digits: 226
-    means 2.26, 6220 means 6.220 (or 62.20 where that is too little or too
-    much for a side), 54279 means 54.279."""
+    """A whole number that lost its decimal point: of three digits the last
+    two are decimals, of five the last three; of four the last three where
+    that makes a plausible side (0.5 to 15 m), else the last two."""
     def restored(digits: Column) -> Column:
         two, three = digits / 100.0, digits / 1000.0
         side = F.when((three > 0.5) & (three < 15), three).when((two > 1) & (two < 200), two).otherwise(three)
@@ -31,8 +33,9 @@ def restore_decimal(value: Column) -> Column:
 
 
 def measurement(text: Column) -> Column:
-    """Struct of value and unit ("m²", "m") of a text such as ``24,29 m²``;
-    nulls where it holds none. The first rule that matches wins."""
+    """Struct of value and unit ("m²", "m") of a text with a number; nulls
+    where it holds none. Rules in order: a number before a unit of area, one
+    before a metre sign, digits that lost their point, a bare decimal."""
     def whole(s: Column) -> Column:
         return let(s.cast("double"), lambda v: F.when((v > 100) & ~F.contains(s, F.lit(".")), restore_decimal(v)).otherwise(v))
 
@@ -72,6 +75,15 @@ def facade_title(text: Column) -> Column:
     return F.contains(F.upper(text), F.lit("FATAD"))
 
 
+def qualified_title(text: Column) -> Column:
+    """Whether a facade's text names it, rather than its area."""
+    return F.rlike(F.upper(text), F.lit("|".join(TITLE_WORDS)))
+
+
+def labels_region(text: Column) -> Column:
+    return F.rlike(F.upper(text), F.lit("|".join(LABELS)))
+
+
 def door_signal(label: Column, ocr: Column, area: Column) -> Column:
     """Whether texts or area speak for a door."""
     both = F.upper(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(ocr, F.lit(""))))
@@ -80,13 +92,23 @@ def door_signal(label: Column, ocr: Column, area: Column) -> Column:
     return ~F.contains(both, F.lit("FATADA")) & (named | F.coalesce(area.between(0.5, 6.5), F.lit(False)))
 
 
+def ratio_text(text: Column) -> Column:
+    return F.translate(F.upper(text), "IL", "11")
+
+
+def scale_word(text: Column) -> Column:
+    """Whether a text says that it gives a scale (I and L read as 1)."""
+    return F.rlike(ratio_text(text), F.lit(r"SCA?R|SC\."))
+
+
 def scale_ratios(text: Column) -> Column:
-    """All ratios of a text: array of (denominator, reversed form)."""
-    t = F.translate(F.upper(text), "IL", "11")
+    """All ratios of a text: array of (denominator, reversed form). I and L
+    are read as 1; what stands around a ratio doesn't matter."""
+    t = ratio_text(text)
     sign = r"\s*[:/\\|]\s*"
     as_struct = lambda xs, back: F.transform(xs, lambda d: F.struct(d.cast("int").alias("den"), F.lit(back).alias("reversed")))
-    plain = F.regexp_extract_all(t, F.lit(r"\b1" + sign + r"(\d{2,4})\b"), F.lit(1))
-    back = F.regexp_extract_all(t, F.lit(r"\b(\d{2,4})" + sign + r"1\b"), F.lit(1))
+    plain = F.regexp_extract_all(t, F.lit("1" + sign + r"(\d{2,4})"), F.lit(1))
+    back = F.regexp_extract_all(t, F.lit(r"(\d{2,4})" + sign + "1"), F.lit(1))
     return F.concat(as_struct(plain, False), as_struct(back, True))
 
 

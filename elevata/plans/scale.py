@@ -52,7 +52,9 @@ def facade_area_from_scale(spark, sf):
 
 
 def scale_ratio_vote(spark, sf):
-    text = F.concat(F.when(F.col("score") % 3 == 0, "SCARA ").otherwise("plan "), F.when(F.col("score") % 4 == 0, F.concat(F.col("w"), F.lit(":1"))).otherwise(F.concat(F.lit("I:"), F.col("w") % 4 * 25 + 25)))
+    words = F.array(*map(F.lit, ("SCARA ", "plan", "SCR ", "SC ", "sc. ", "Scale ", "")))
+    ratio = F.when(F.col("score") % 4 == 0, F.concat(F.col("w"), F.lit(":1"))).when(F.col("score") % 4 == 1, F.concat(F.lit("l | "), F.col("w"))).otherwise(F.concat(F.lit("I:"), F.col("w") % 4 * 25 + 25))
+    text = F.concat(F.element_at(words, (F.col("score") % 7 + 1).cast("int")), ratio)
     t = view(spark, sf, "v_element").select(F.col("facade_id").alias("image_id"), F.col("element_id").alias("token_id"), text.alias("text"), (F.col("score") / 100.0).alias("confidence"))
     return S.ratio_votes(t)
 
@@ -109,9 +111,15 @@ ORACLES = {
         SELECT element_id, round(coalesce(area_m2, CASE WHEN (kind <> 'door' OR read) AND {BETWEEN.format("a", "0.15 AND 15.0", "0.5 AND 6.5", "0.01 AND 5000.0")} THEN a END, 0), 6) AS area_m2 FROM k""",
     "facade_area_from_scale": f"""{duck("v_facade")}, s AS (SELECT image_id, max(w) * 3.0::DOUBLE AS p FROM v_facade GROUP BY image_id)
         SELECT facade_id, round(CASE WHEN facade_id % 3 = 0 THEN total_cm2 / 10000.0::DOUBLE WHEN w * h / p BETWEEN 2 AND 5000 THEN w * h / p ELSE 0 END, 6) AS area_m2 FROM v_facade JOIN s USING (image_id)""",
-    "scale_ratio_vote": f"""{duck("v_element")}, r AS (SELECT facade_id AS image_id, element_id, score % 3 = 0 AS word, score % 4 = 0 AS back, CASE WHEN score % 4 = 0 THEN w ELSE w % 4 * 25 + 25 END AS den, least(greatest(score / 100.0::DOUBLE, 0.05::DOUBLE), 1.0::DOUBLE) AS sure FROM v_element),
-        v AS (SELECT image_id, den::INT AS den, round(sum(CASE WHEN back THEN sure * 0.8::DOUBLE + CASE WHEN word THEN 0.4::DOUBLE ELSE 0 END ELSE sure + CASE WHEN word THEN 0.5::DOUBLE ELSE 0 END END + CASE WHEN den IN (20, 25, 50, 75, 100, 125, 200, 250) THEN 0.15::DOUBLE ELSE 0 END), 6) AS score, min(element_id) AS first FROM r WHERE den BETWEEN 10 AND 1000 GROUP BY image_id, den)
-        SELECT image_id, arg_max(den, (score, -first)) AS ratio, max(score) AS score FROM v GROUP BY image_id""",
+    "scale_ratio_vote": f"""{duck("v_element")},
+        t AS (SELECT facade_id AS image_id, element_id, least(greatest(score / 100.0::DOUBLE, 0.05::DOUBLE), 1.0::DOUBLE) AS sure,
+                     translate(upper(['SCARA ', 'plan', 'SCR ', 'SC ', 'sc. ', 'Scale ', ''][score % 7 + 1] || CASE score % 4 WHEN 0 THEN w || ':1' WHEN 1 THEN 'l | ' || w ELSE 'I:' || (w % 4 * 25 + 25) END), 'IL', '11') AS text FROM v_element),
+        r AS (SELECT *, unnest(regexp_extract_all(text, '1\\s*[:/\\\\|]\\s*(\\d{{2,4}})', 1))::INT AS den, false AS back FROM t
+              UNION ALL SELECT *, unnest(regexp_extract_all(text, '(\\d{{2,4}})\\s*[:/\\\\|]\\s*1', 1))::INT, true FROM t),
+        k AS (SELECT *, regexp_matches(text, 'SCA?R|SC\\.') AS word FROM r WHERE den BETWEEN 10 AND 1000),
+        v AS (SELECT image_id, den, round(sum(CASE WHEN back THEN sure * 0.8::DOUBLE + CASE WHEN word THEN 0.4::DOUBLE ELSE 0 END ELSE sure + CASE WHEN word THEN 0.5::DOUBLE ELSE 0 END END
+                     + CASE WHEN den IN (20, 25, 50, 75, 100, 125, 200, 250) THEN 0.15::DOUBLE ELSE 0 END), 6) AS score, min((element_id, back)) AS first FROM k GROUP BY image_id, den)
+        SELECT image_id, arg_max(den, (score, -first[1], NOT first[2])) AS ratio, max(score) AS score FROM v GROUP BY image_id""",
     "page_geometry": f"""{duck("v_facade")}, g AS (SELECT facade_id, w, h, w / (12.5::DOUBLE * 20.0::DOUBLE / 25.4::DOUBLE) AS dpi FROM v_facade)
         SELECT facade_id, round(CASE WHEN abs(w - 254.0::DOUBLE) <= 254.0::DOUBLE * 0.15::DOUBLE THEN w ELSE 254 END * 39.37007874::DOUBLE / 50.0::DOUBLE, 6) AS assumed, round(dpi, 6) AS dpi, round(w * 2 / dpi * 25.4::DOUBLE, 6) AS width_mm, round(h * 2 / dpi * 25.4::DOUBLE, 6) AS height_mm FROM g""",
     "signal_metrics": f"{METRICS} SELECT * FROM sm",

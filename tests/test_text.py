@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from elevata.functions import text as X
+from elevata.operators.scale import ratio_votes
 
 
 @pytest.mark.parametrize("text,value,unit", [
@@ -24,5 +25,21 @@ def test_labels_and_slugs(spark):
 
 
 def test_scale_ratios(spark):
-    rows = spark.createDataFrame([("SC I:50 si 1/100",), ("200:1",), ("11:5",), (None,)], "t string").select(X.scale_ratios(F.col("t")).alias("r")).collect()
-    assert [[tuple(x) for x in r["r"] or []] for r in rows] == [[(50, False), (100, False)], [(200, True)], [], []]
+    texts = ["SC I:50 si 1/100", "200:1", "SCARA1:50", "PLAN1:100", "11:50", "1:5", "50:100", "l | 20", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.scale_ratios(F.col("t")).alias("r")).collect()
+    want = [[(50, False), (100, False)], [(200, True)], [(50, False)], [(100, False)], [(50, False)], [], [(50, True)], [(20, False)], []]
+    assert [[tuple(x) for x in r["r"] or []] for r in rows] == want
+
+
+@pytest.mark.parametrize("text,score", [("SCR 1:20", 1.15), ("SC 1:20", 0.65), ("SC. 1:20", 1.15), ("Scara 1:20", 1.15), ("SCALE 1:20", 0.65), ("Scara 20:1", 0.95), ("1:30", 0.5)])
+def test_ratio_scores(spark, text, score):
+    """0.5 of confidence, 0.5 for a word (0.4 where reversed), 0.15 for a common ratio."""
+    row = ratio_votes(spark.createDataFrame([(1, 1, text, 0.5)], "image_id long, token_id long, text string, confidence double")).first()
+    assert row["score"] == pytest.approx(score)
+
+
+def test_titles(spark):
+    """The words that make a text a title."""
+    texts = ["FATADA PRINCIPALA", "fatada stinga", "Fatada", "FATADA NORD", "Fatada laterala 2", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.qualified_title(F.col("t")).alias("q")).collect()
+    assert [r["q"] for r in rows] == [True, True, False, False, True, None]
