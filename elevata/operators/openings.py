@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from ..functions.boxes import Box, gap_x, gap_y, overlap_x, overlap_y
@@ -12,35 +13,42 @@ from ..functions.text import let
 
 def merged_fragments(regions: DataFrame) -> DataFrame:
     """Neighbouring fragments of a facade become one box, until nothing
-    changes. ``regions``: facade_id, region_id, x, y, w, h, fw.
+    changes. ``regions``: facade_id, region_id, x, y, w, h, fy, fw, fh.
 
-    One fold over the boxes sorted by x joins each to the earlier boxes that
-    it touches; as joined boxes may touch others, folds are repeated as often
-    as a facade has boxes at most (each that changes anything removes one).
+    Each step joins the first pair, in the order of x and y, that stands side
+    by side and whose union is shaped and placed like a window. A joined box
+    keeps the id of its first part. There are fewer steps than a facade has
+    boxes, and a step looks at pairs until one fits.
     """
     item = F.struct(*(F.col(c).cast("long").alias(c) for c in "xywh"), F.col("region_id").cast("long").alias("region_id"), F.lit(1).cast("long").alias("parts"))
-    rows = regions.groupBy("facade_id").agg(F.array_sort(F.collect_list(item)).alias("bs"), F.first("fw").alias("fw"))
-    none = F.array().cast("array<struct<x:bigint,y:bigint,w:bigint,h:bigint,region_id:bigint,parts:bigint>>")
-
-    def touches(a: Box, b: Box) -> Column:
-        far = F.greatest(F.lit(16.0), F.col("fw") * 0.02)
-        return (gap_x(a, b) <= far) & (overlap_y(a, b) >= F.least(a.h, b.h) * 0.45)
+    rows = regions.groupBy("facade_id").agg(F.array_sort(F.collect_list(item)).alias("bs"), *(F.first(c).cast("long").alias(c) for c in ("fy", "fw", "fh")))
+    fy, fw, fh = F.col("fy"), F.greatest(F.col("fw"), F.lit(1)), F.greatest(F.col("fh"), F.lit(1))
 
     def join(a: Column, b: Column) -> Column:
         p, q = Box.of(struct=a), Box.of(struct=b)
         x, y = F.least(p.x, q.x), F.least(p.y, q.y)
-        return F.struct(x.alias("x"), y.alias("y"), (F.greatest(p.right, q.right) - x).alias("w"), (F.greatest(p.bottom, q.bottom) - y).alias("h"), F.least(a["region_id"], b["region_id"]).alias("region_id"), (a["parts"] + b["parts"]).alias("parts"))
+        return F.struct(x.alias("x"), y.alias("y"), (F.greatest(p.right, q.right) - x).alias("w"), (F.greatest(p.bottom, q.bottom) - y).alias("h"), a["region_id"].alias("region_id"), (a["parts"] + b["parts"]).alias("parts"))
+
+    def fits(a: Column, b: Column) -> Column:
+        p, q = Box.of(struct=a), Box.of(struct=b)
+        x, y = F.least(p.x, q.x), F.least(p.y, q.y)
+        w, h = F.greatest(p.right, q.right) - x, F.greatest(p.bottom, q.bottom) - y
+        beside = (gap_x(p, q) <= F.greatest(F.lit(16), F.floor(F.col("fw") * 0.02))) & (overlap_y(p, q) >= F.least(p.h, q.h) * 0.45)
+        return beside & (w / fw).between(0.06, 0.20) & (h / fh).between(0.16, 0.55) & ((y + h * 0.5 - fy) / fh).between(0.22, 0.70) & (w / F.greatest(h, F.lit(1))).between(0.55, 2.20)
+
+    def step(bs: Column) -> Column:
+        def first_partner(a: Column, i: Column) -> Column:
+            return F.get(F.filter(bs, lambda b, j: (j > i) & fits(a, b)), F.lit(0))
+
+        pairs = F.filter(F.transform(bs, lambda a, i: F.struct(a.alias("a"), first_partner(a, i).alias("b"))), lambda p: p["b"].isNotNull())
 
-    def add(kept: Column, b: Column) -> Column:
-        hit = lambda k: touches(Box.of(struct=k), Box.of(struct=b))
-        whole = F.aggregate(F.filter(kept, hit), b, join)
-        return F.concat(F.filter(kept, lambda k: ~hit(k)), F.array(whole))
+        def joined(p: Column) -> Column:
+            rest = F.filter(bs, lambda x: (x["region_id"] != p["a"]["region_id"]) & (x["region_id"] != p["b"]["region_id"]))
+            return F.when(p.isNull(), bs).otherwise(F.array_sort(F.concat(rest, F.array(join(p["a"], p["b"])))))
 
-    def once(bs: Column) -> Column:
-        return F.array_sort(F.aggregate(bs, none, add))
+        return let(F.get(pairs, F.lit(0)), joined)
 
-    steps = F.sequence(F.lit(1), F.size("bs"))
-    done = F.aggregate(steps, F.col("bs"), lambda bs, _: once(bs))
+    done = F.aggregate(F.sequence(F.lit(1), F.size("bs")), F.col("bs"), lambda bs, _: step(bs))
     return rows.select("facade_id", F.explode(done).alias("b")).select("facade_id", "b.region_id", "b.x", "b.y", "b.w", "b.h", "b.parts")
 
 
@@ -218,6 +226,24 @@ def invalid_window(f: Box, o: Box, image_area: Column) -> Column:
     return (o.w > 0) & (o.h > 0) & ((ratio > 4.5) | (ratio < 0.22) | (o.area > image_area * 0.25) | F.coalesce(inside, F.lit(False)))
 
 
+def bright_wall(mean: Column, spread: Column, n_pixels: Column) -> Column:
+    """Whether a candidate's patch is evenly bright, like sky or wall; too
+    small a patch says nothing. Grey levels from 0 to 255."""
+    return (n_pixels * 3 >= 100) & (mean > 200) & (spread < 35)
+
+
+def photo_validated(candidates: DataFrame) -> DataFrame:
+    """Windows that stay: only candidates of photographs are tested, and an
+    image whose candidates would all go keeps them.
+
+    ``candidates``: image_id, region_id, photo, invalid (see
+    `invalid_window`), bright (see `bright_wall`).
+    """
+    gone = F.col("photo") & (F.coalesce("invalid", F.lit(False)) | F.coalesce("bright", F.lit(False)))
+    some = F.max(~gone).over(Window.partitionBy("image_id"))
+    return candidates.withColumns({"_gone": gone, "_some": some}).filter(~F.col("_gone") | ~F.col("_some")).drop("_gone", "_some")
+
+
 def markup_window(f: Box, o: Box) -> Column:
     """Whether a marked window lies and is sized plausibly in its facade."""
     return (o.cy <= f.y + f.h * 0.72) & (o.area / f.area).between(0.006, 0.30)

@@ -80,10 +80,10 @@ def enrich_regions(spark, sf):
     t = view(spark, sf, "v_token")
     from ..functions.text import measurement
 
-    t = t.withColumn("m", measurement(F.col("text"))).select("image_id", "token_id", F.floor((2 * F.col("x") + F.col("w")) / 2).alias("cx"), F.floor((2 * F.col("y") + F.col("h")) / 2).alias("cy"), "m.*")
+    t = t.withColumn("m", measurement(F.col("text"))).select("image_id", "token_id", "text", F.floor((2 * F.col("x") + F.col("w")) / 2).alias("cx"), F.floor((2 * F.col("y") + F.col("h")) / 2).alias("cy"), "m.*")
     regions = _elements(spark, sf).select("image_id", F.col("element_id").alias("region_id"), "kind", "x", "y", (F.col("w") * 4).alias("w"), (F.col("h") * 4).alias("h"))
     out = C.enriched(regions, t)
-    return out.select("region_id", "n_sizes", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("area_m2", "width_m", "height_m")))
+    return out.select("region_id", "n_sizes", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("area_m2", "width_m", "height_m")), F.coalesce("label", F.lit("")).alias("label"), "texts")
 
 
 def row_groups_gap(spark, sf):
@@ -114,12 +114,14 @@ def adjacent_pairs(spark, sf):
 
 
 def merge_fragments(spark, sf):
-    """Window fragments side by side joined to a fixpoint: gap up to
-    max(16, 2 %) and heights that overlap by 45 % of the smaller."""
+    """Window fragments side by side joined to a fixpoint. The windows are
+    moved into their facade, so that the rules have work to do."""
     from ..operators.openings import merged_fragments
 
-    e = view(spark, sf, "v_element").filter("kind = 'window'").join(view(spark, sf, "v_facade").select("facade_id", F.col("w").alias("fw")), "facade_id")
-    return merged_fragments(e.select("facade_id", F.col("element_id").alias("region_id"), *"xywh", "fw"))
+    f = view(spark, sf, "v_facade").select("facade_id", *(F.col(c).alias("f" + c) for c in "xywh"))
+    e = view(spark, sf, "v_element").filter("kind = 'window'").join(f, "facade_id")
+    moved = [(F.col("fx") + F.col("x") % F.col("fw")).alias("x"), (F.col("fy") + F.col("y") % F.col("fh")).alias("y")]
+    return merged_fragments(e.select("facade_id", F.col("element_id").alias("region_id"), *moved, "w", "h", "fy", "fw", "fh"))
 
 
 def row_groups_median(spark, sf):
@@ -147,8 +149,8 @@ ORACLES = {
         SELECT a.image_id, a.label_id, coalesce(region_id, -1) AS region_id FROM a LEFT JOIN chosen USING (image_id, label_id)""",
     "match_color_ocr": f"""{duck("v_element", recursive=True)}, a AS (SELECT facade_id AS image_id, element_id AS ocr_id, kind, label, x AS cx, y AS cy FROM v_element WHERE side = 'F'),
         b AS (SELECT facade_id AS image_id, element_id AS colour_id, kind, label, x + w // 2 AS cx, y + h // 2 AS cy FROM v_element WHERE side = 'O'),
-        p AS (SELECT a.image_id, ocr_id, colour_id, a.kind, {FAR} + CASE WHEN a.label <> b.label AND {FAR} > 60 THEN 120 ELSE 0 END AS cost FROM a JOIN b ON a.image_id = b.image_id AND a.kind = b.kind),
-        q AS (SELECT * FROM p WHERE cost <= CASE kind WHEN 'door' THEN 240 ELSE 220 END), {greedy("q", "image_id", "ocr_id", "colour_id", "cost, ocr_id, colour_id")}
+        p AS (SELECT a.image_id, ocr_id, colour_id, a.kind, {FAR} AS d, {FAR} + CASE WHEN a.label <> b.label AND {FAR} > 60 THEN 120 ELSE 0 END AS cost FROM a JOIN b ON a.image_id = b.image_id AND a.kind = b.kind),
+        q AS (SELECT * FROM p WHERE d <= CASE kind WHEN 'door' THEN 240 ELSE 220 END), {greedy("q", "image_id", "ocr_id", "colour_id", "cost, ocr_id, colour_id")}
         SELECT a.image_id, a.ocr_id, coalesce(colour_id, -1) AS colour_id FROM a LEFT JOIN chosen USING (image_id, ocr_id)
         UNION ALL SELECT image_id, -1, colour_id FROM b WHERE colour_id NOT IN (SELECT colour_id FROM chosen)""",
     "nms_regions": f"""{duck("v_element", recursive=True)}, seq AS (SELECT facade_id AS g, element_id AS region_id, x, y, w, h, row_number() OVER (PARTITION BY facade_id ORDER BY w * h DESC, element_id) AS k FROM v_element),

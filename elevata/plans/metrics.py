@@ -84,9 +84,9 @@ def baseline_delta(spark, sf):
 def annotation_validation(spark, sf):
     f, e = view(spark, sf, "v_facade"), view(spark, sf, "v_element")
     c = lambda n, t="string": F.lit(None).cast(t).alias(n)
-    facades = f.select(F.col("facade_id").alias("file_id"), F.lit(0).cast("long").alias("item_id"), F.lit("facade").alias("kind"), F.col("name").alias("label"), c("parent"), *"xywh", (F.col("total_cm2") / 10000.0).alias("area_m2"), c("width_m", "double"))
+    facades = f.select(F.col("facade_id").alias("file_id"), F.lit(0).cast("long").alias("item_id"), F.lit("facade").alias("kind"), F.col("name").alias("label"), c("parent"), *"xywh", (F.col("total_cm2") / 10000.0).alias("area_m2"), c("width_m", "double"), c("height_m", "double"))
     parent = F.when(F.col("score") < 10, F.lit("FATADA_X")).when(F.col("score") < 90, F.concat(F.lit("FATADA_"), F.col("facade_id")))
-    parts = e.select(F.col("facade_id").alias("file_id"), F.col("element_id").alias("item_id"), "kind", F.when(F.col("score") % 30 == 0, " ").otherwise(F.col("label")).alias("label"), parent.alias("parent"), *"xywh", (F.col("w_cm") * F.col("h_cm") / 10000.0).alias("area_m2"), (F.col("w_cm") / 100.0).alias("width_m"))
+    parts = e.select(F.col("facade_id").alias("file_id"), F.col("element_id").alias("item_id"), "kind", F.when(F.col("score") % 30 == 0, " ").otherwise(F.col("label")).alias("label"), parent.alias("parent"), *"xywh", (F.col("w_cm") * F.col("h_cm") / 10000.0).alias("area_m2"), (F.col("w_cm") / 100.0).alias("width_m"), (F.col("h_cm") / 100.0).alias("height_m"))
     images = f.select(F.col("facade_id").alias("file_id"), F.lit(1800).alias("width"), F.lit(900).alias("height"), (F.col("facade_id") % 2).alias("n_scale_refs"))
     return V.annotation_errors(facades.unionByName(parts), images, strict=True)
 
@@ -195,11 +195,13 @@ ORACLES = {
         na AS (SELECT case_id, count(*) AS na FROM a GROUP BY ALL), nb AS (SELECT case_id, count(*) AS nb FROM b GROUP BY ALL),
         d AS (SELECT case_id, max(greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.w - b.w), abs(a.h - b.h))) AS d FROM a JOIN b USING (case_id, k) GROUP BY case_id)
         SELECT case_id, (na - nb)::INT AS more, CASE WHEN na = nb THEN d ELSE 1000000 END AS delta, na <> nb OR d > 2 AS changed FROM na JOIN nb USING (case_id) JOIN d USING (case_id)""",
-    "annotation_validation": f"""{duck("v_facade", "v_element")}, i AS (SELECT facade_id AS file_id, 0 AS item_id, true AS top, name AS label, NULL AS parent, x, y, w, h, total_cm2 / 10000.0::DOUBLE AS area, NULL::DOUBLE AS wm FROM v_facade
-          UNION ALL SELECT facade_id, element_id, false, CASE WHEN score % 30 = 0 THEN ' ' ELSE label END, CASE WHEN score < 10 THEN 'FATADA_X' WHEN score < 90 THEN 'FATADA_' || facade_id END, x, y, w, h, w_cm * h_cm / 10000.0::DOUBLE, w_cm / 100.0::DOUBLE FROM v_element),
+    "annotation_validation": f"""{duck("v_facade", "v_element")}, i AS (SELECT facade_id AS file_id, 0 AS item_id, true AS top, name AS label, NULL AS parent, x, y, w, h, total_cm2 / 10000.0::DOUBLE AS area, NULL::DOUBLE AS wm, NULL::DOUBLE AS hm, 'facade' AS kind FROM v_facade
+          UNION ALL SELECT facade_id, element_id, false, CASE WHEN score % 30 = 0 THEN ' ' ELSE label END, CASE WHEN score < 10 THEN 'FATADA_X' WHEN score < 90 THEN 'FATADA_' || facade_id END, x, y, w, h, w_cm * h_cm / 10000.0::DOUBLE, w_cm / 100.0::DOUBLE, h_cm / 100.0::DOUBLE, kind FROM v_element),
         k AS (SELECT i.*, f.name AS pn, f.x AS px, f.y AS py, f.w AS pw, f.h AS ph FROM i LEFT JOIN v_facade f ON f.facade_id = file_id AND parent = f.name)
         SELECT file_id, item_id, 'empty_label' AS rule FROM k WHERE trim(label) = '' UNION ALL SELECT file_id, item_id, 'outside_image' FROM k WHERE x + w > 1800 OR y + h > 900 UNION ALL SELECT file_id, item_id, 'unknown_parent' FROM k WHERE NOT top AND parent IS NOT NULL AND pn IS NULL
-        UNION ALL SELECT file_id, item_id, 'outside_parent' FROM k WHERE NOT top AND (x < px - 20 OR y < py - 20 OR x + w > px + pw + 20 OR y + h > py + ph + 20) UNION ALL SELECT file_id, item_id, 'area_out_of_range' FROM k WHERE NOT area BETWEEN 0.01 AND 5000 UNION ALL SELECT file_id, item_id, 'width_out_of_range' FROM k WHERE NOT wm BETWEEN 0.05 AND 100
+        UNION ALL SELECT file_id, item_id, 'outside_parent' FROM k WHERE NOT top AND (x < px - 20 OR y < py - 20 OR x + w > px + pw + 20 OR y + h > py + ph + 20) UNION ALL SELECT file_id, item_id, 'area_out_of_range' FROM k WHERE CASE kind WHEN 'facade' THEN NOT area BETWEEN 1 AND 5000 WHEN 'window' THEN NOT area BETWEEN 0.15 AND 15 ELSE NOT area BETWEEN 0.5 AND 6.5 END
+        UNION ALL SELECT file_id, item_id, 'width_out_of_range' FROM k WHERE CASE kind WHEN 'window' THEN NOT wm BETWEEN 0.2 AND 8 WHEN 'door' THEN NOT wm BETWEEN 0.5 AND 5 END
+        UNION ALL SELECT file_id, item_id, 'height_out_of_range' FROM k WHERE CASE kind WHEN 'window' THEN NOT hm BETWEEN 0.2 AND 5 WHEN 'door' THEN NOT hm BETWEEN 1.4 AND 5 END
         UNION ALL SELECT facade_id, -1, 'no_scale_reference' FROM v_facade WHERE facade_id % 2 = 0""",
     "reference_verdicts": f"""{duck("v_facade")} SELECT facade_id AS id, CASE WHEN x + w > 2000 OR y + h > 1000 OR w * (facade_id % 50) < 1000 THEN 'INVALID' WHEN facade_id % 5 = 0 OR facade_id % 7 > 0 THEN 'WARNING' ELSE 'VALID' END AS verdict FROM v_facade""",
     "row_occupancy": f"{PIX} SELECT image_id, y, count(*) FILTER (WHERE v > 0)::DOUBLE / count(*) AS share FROM v_pixel GROUP BY image_id, y",

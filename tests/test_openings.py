@@ -32,7 +32,7 @@ def test_promoted_door(spark, facade, boxes, want):
 def test_fragments(spark):
     boxes = [(205, 150, 141, 119), (521, 150, 65, 119), (586, 203, 84, 69), (753, 155, 61, 134), (919, 184, 149, 90), (1169, 152, 103, 110)]
     _, w = frames(spark, (0, 0, 1400, 500), boxes)
-    got = {(r["x"], r["y"], r["w"], r["h"]) for r in O.merged_fragments(w.withColumn("fw", F.lit(1000))).collect()}
+    got = {(r["x"], r["y"], r["w"], r["h"]) for r in O.merged_fragments(w.withColumns({"fy": F.lit(0), "fw": F.lit(1000), "fh": F.lit(500)})).collect()}
     assert len(got) == 5 and (521, 150, 149, 122) in got
 
 
