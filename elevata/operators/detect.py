@@ -111,6 +111,29 @@ def detect_all(bgr: np.ndarray) -> list[tuple[str, str, tuple[int, int, int, int
     return out
 
 
+def bgr_of(row: dict) -> np.ndarray | None:
+    """The pixels of an image row; null where it could not be decoded."""
+    height, width, channels = row["height"], row["width"], row["nChannels"]
+    if height is None or height <= 0 or width <= 0:
+        return None
+    bgr = np.frombuffer(row["data"], np.uint8).reshape(height, width, channels)[..., :3]
+    return np.repeat(bgr, 3, axis=2) if bgr.shape[2] == 1 else bgr
+
+
+def image_levels(images: DataFrame) -> DataFrame:
+    """image_id (the stem), width, height and grey level of the border (its
+    70th percentile) of the images that can be read."""
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(row["stem"], bgr_of(row)) for row in batch.to_dict("records")]
+            found = [(stem, bgr.shape[1], bgr.shape[0], float(K.border_percentile(K.gray(bgr), 70.0))) for stem, bgr in rows if bgr is not None]
+            yield pd.DataFrame(found, columns=["image_id", "width", "height", "white_level"])
+
+    return images.select("stem", "height", "width", "nChannels", "data").mapInPandas(run, "image_id string, width int, height int, white_level double")
+
+
 STEM = {"facade": "FATADA_", "window": "F_", "door": "U_"}
 
 

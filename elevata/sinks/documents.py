@@ -10,11 +10,14 @@ import io
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.sax.saxutils import escape
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from ..operators.report import QUANTITY_LINES, SECTIONS
+
 
 def _column(i: int) -> str:
     out = ""
@@ -23,9 +26,14 @@ def _column(i: int) -> str:
     return out
 
 
+class Bold(list):
+    """A row in bold type."""
+
+
 def xlsx(sheets: dict[str, list[list]]) -> bytes:
     """A workbook: sheet name to rows of numbers, texts and empty cells. The
-    first row is bold; columns are as wide as their texts, 40 at most."""
+    first row and `Bold` ones are bold; columns are as wide as their texts, 40
+    at most."""
     names = list(sheets)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -43,7 +51,7 @@ def xlsx(sheets: dict[str, list[list]]) -> bytes:
         for i, n in enumerate(names):
             rows, body = sheets[n], []
             for r, cells in enumerate(rows):
-                style = ' s="1"' if r == 0 else ""
+                style = ' s="1"' if r == 0 or isinstance(cells, Bold) else ""
                 row = []
                 for c, v in enumerate(cells):
                     at = f"{_column(c)}{r + 1}"
@@ -80,24 +88,102 @@ def pdf(bgr: np.ndarray, dpi: float, footer: str = "") -> bytes:
     return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + table + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
 
 
-def write_workbooks(lists: DataFrame, folder: str, key: str = "image_id") -> DataFrame:
-    """A workbook for each project from its quantities list (section, line,
-    label, unit, quantity); returns key, file and size. A repeated task writes
-    the same bytes to the same name."""
-    def write(table):
+#: Headings and lines of the workbook's sheets, with the columns
+#: that they show.
+DETAIL = ["Nr.", "Fatada", "Element", "Tip", "Latime (m)", "Inaltime (m)", "Suprafata (m²)"]
+TOTALS = [
+    ("TOTAL SUPRAFATA FATADE", "total_m2"), ("TOTAL TAMPLARIE (Ferestre + Usi)", "carpentry_m2"), ("TOTAL TERMOSISTEM (Fatade - Tamplarie)", "net_m2"), ("TOTAL SOCLU EXCLUS", "socle_m2"), ("TOTAL GLAF EXTERIOR", "sill_m"),
+    ("TOTAL PICURATOR GOLURI", "drip_m"), ("TOTAL LUNGIME COLTARE", "corner_m"), ("TOTAL PICURATOR SOCLU", "socle_drip_m"), ("TOTAL PERIMETRU FERESTRE", "window_perimeter_m"), ("TOTAL PERIMETRU USI", "door_perimeter_m"),
+]
+SUMMARY = [
+    ("Sup. Totala (m²)", "total_m2"), ("Tamplarie (m²)", "carpentry_m2"), ("Termosistem (m²)", "net_m2"), ("Soclu exclus (m²)", "socle_m2"), ("Glaf exterior (m)", "sill_m"), ("Picurator goluri (m)", "drip_m"),
+    ("Coltare (m)", "corner_m"), ("Picurator soclu (m)", "socle_drip_m"), ("Perimetru ferestre (m)", "window_perimeter_m"), ("Perimetru usi (m)", "door_perimeter_m"),
+]
+KINDS = {"window": "Fereastra", "door": "Usa"}
+
+
+def workbook_sheets(project: str, facades: list[dict], elements: list[dict], client: dict[str, str] | None = None) -> dict[str, list[list]]:
+    """The three sheets of a project: facades with their openings, subtotals
+    and totals; a summary of a row a facade; and the list of quantities.
+
+    ``facades``: facade_id, name and the quantities in m2 and m; ``elements``:
+    facade_id, element_id, kind, label, area_m2.
+    """
+    facades = sorted(facades, key=lambda f: f["facade_id"])
+    total = lambda c: round(sum(f[c] for f in facades), 6)
+    first = [Bold([f"RAPORT CANTITATI - {project}"]), [], [], Bold(DETAIL)]
+    for n, f in enumerate(facades, 1):
+        first.append(Bold([n, f["name"], "FATADA", "Termosistem", None, None, f["total_m2"]]))
+        for kind, shown in KINDS.items():
+            own = sorted((e for e in elements if e["facade_id"] == f["facade_id"] and e["kind"] == kind), key=lambda e: e["element_id"])
+            first += [[None, f["name"], e["label"], shown, None, None, e["area_m2"]] for e in own]
+        first.append(Bold([f"  Subtotal {f['name']}", None, None, None, None, f["carpentry_m2"], f["net_m2"]]))
+    first.append([])
+    first += [Bold([label, None, None, None, None, None, total(c)]) for label, c in TOTALS]
+    second = [Bold(["SUMAR PROIECT"]), [], Bold(["Fatada", *(h for h, _ in SUMMARY)])]
+    second += [[f["name"], *(f[c] for _, c in SUMMARY)] for f in facades] + [Bold(["TOTAL", *(total(c) for _, c in SUMMARY)])]
+    third = [Bold(["LISTA CANTITĂȚI TERMOIZOLARE"])] + [[label, value] for label, value in (client or {}).items() if value] + [[]]
+    for section, title in SECTIONS.items():
+        lines = [x for x in QUANTITY_LINES if x[0] == section]
+        third += [] if section == 5 else [Bold([title]), ["Descriere", "mp", "ml"]]
+        for _, _, label, c, unit in lines:
+            value = round(total(f"{c}_m2" if unit == "mp" else f"{c}_m"), 2) if c else 0
+            row = [label, value, None] if unit == "mp" else [label, None, value]
+            third.append(Bold(row) if section == 5 else row)
+        third.append([])
+    return {"Cantitati Fatade": first, "Sumar": second, "Lista Cantitati": third[:-1]}
+
+
+def write_workbooks(facades: DataFrame, elements: DataFrame, folder: str, key: str = "image_id") -> DataFrame:
+    """A workbook for each project, as `workbook_sheets` has it; returns key,
+    file and size. A repeated task writes the same bytes to the same name."""
+    def write(own, parts):
         import pyarrow as pa
         from pyarrow import fs
 
+        if not own.num_rows:
+            return pa.table({key: own.column(key), "file": pa.array([], pa.string()), "bytes": pa.array([], pa.int64())})
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("section", "line", "label", "unit", "quantity")), strict=True))
-        name = f"quantities-{table.column(key)[0].as_py()}.xlsx"
-        data = xlsx({"Quantities": [["section", "line", "quantity of", "unit", "quantity"], *map(list, rows)]})
+        project = str(own.column(key)[0].as_py())
+        name = f"quantities-{quote(project, safe='')}.xlsx"
+        data = xlsx(workbook_sheets(project, own.to_pylist(), parts.to_pylist()))
         with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             out.write(data)
-        return pa.table({key: table.column(key)[:1], "file": [name], "bytes": pa.array([len(data)], pa.int64())})
+        return pa.table({key: own.column(key)[:1], "file": [name], "bytes": pa.array([len(data)], pa.int64())})
 
-    return lists.groupBy(key).applyInArrow(write, f"{key} {lists.schema[key].dataType.simpleString()}, file string, bytes bigint")
+    return facades.groupBy(key).cogroup(elements.select(key, "facade_id", "element_id", "kind", "label", "area_m2").groupBy(key)).applyInArrow(write, f"{key} {facades.schema[key].dataType.simpleString()}, file string, bytes bigint")
+
+
+def write_pages(images: DataFrame, folder: str, dpi: float = 254.0, tinted: bool = True) -> DataFrame:
+    """A PDF page and a PNG picture of each image with its regions tinted, out
+    of one stage over the pixels; returns image_id, file and size. Images that
+    cannot be read are left out."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        from ..operators.detect import bgr_of, detect_all
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                image = bgr_of(row)
+                if image is None:
+                    continue
+                found = [(kind, box[:4]) for kind, _, box in detect_all(image)] if tinted else []
+                shown = overlay(image, found)
+                for suffix, data in (("png", png(shown)), ("pdf", pdf(shown, dpi, f"{row['stem']}: {image.shape[1]} x {image.shape[0]} px"))):
+                    name = f"{quote(row['stem'], safe='')}.{suffix}"
+                    with files.open_output_stream(f"{root}/{name}", compression=None) as out:
+                        out.write(data)
+                    rows.append((row["stem"], name, len(data)))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["image_id", "file", "bytes"])
+
+    return images.select("stem", "height", "width", "nChannels", "data").mapInArrow(run, "image_id string, file string, bytes long")
 
 
 def write_yolo(lines: DataFrame, folder: str, names: tuple[str, ...] = ("facade", "window", "door", "socle")) -> None:

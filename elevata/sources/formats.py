@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,21 +16,25 @@ from ..functions.text import let
 IMAGE_GLOB = "*.{png,jpg,jpeg,bmp,tiff,tif,PNG,JPG,JPEG,BMP,TIFF,TIF}"
 
 
-def file_stem(path: Column) -> Column:
-    """File name without folder and last suffix, lower-cased."""
-    return F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
+def file_stem(path: Column, folder: str) -> Column:
+    """Path of a file below ``folder``, without its last suffix and
+    lower-cased, so that equal names in two folders stay apart."""
+    root = urlparse(folder).path.rstrip("/") + "/"
+    below = F.element_at(F.split(path, re.escape(root), 2), -1)
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.lower(F.regexp_replace(F.when(F.contains(path, F.lit(root)), below).otherwise(name), r"\.[^./]*$", ""))
 
 
 def image_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, stem, length, content of the images of a folder."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return rows.select("path", file_stem(F.col("path")).alias("stem"), "length", "content")
+    return rows.select("path", file_stem(F.col("path"), folder).alias("stem"), "length", "content")
 
 
 def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded rows (BGR bytes); those that cannot be decoded have ``error``."""
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
-    return rows.withColumn("stem", file_stem(F.col("origin"))).withColumn("error", F.when(F.col("height") < 0, "cannot be decoded"))
+    rows = spark.read.format("image").option("pathGlobFilter", IMAGE_GLOB).option("recursiveFileLookup", "true").load(folder).select("image.*")
+    return rows.withColumn("stem", file_stem(F.col("origin"), folder)).withColumn("error", F.when(F.col("height") < 0, "cannot be decoded"))
 
 
 def worldfile_scale(text: Column) -> Column:
@@ -54,7 +61,7 @@ def world_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pgw,pngw,jgw,wld}").option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
     order = F.array_position(F.array(*map(F.lit, ("pgw", "pngw", "jgw", "wld"))), suffix)
-    rows = rows.select(file_stem(F.col("path")).alias("stem"), order.alias("order"), worldfile_scale(F.col("content").cast("string")).alias("s")).filter("s IS NOT NULL")
+    rows = rows.select(file_stem(F.col("path"), folder).alias("stem"), order.alias("order"), worldfile_scale(F.col("content").cast("string")).alias("s")).filter("s IS NOT NULL")
     return rows.groupBy("stem").agg(F.min_by("s", "order").alias("s")).select("stem", "s.*")
 
 
@@ -66,7 +73,7 @@ TRUTH = "image_file string, sample_id string, " + ", ".join(
 
 def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
     """stem, kind, ord, label, x, y, w, h, area_m2 of all boxes."""
-    rows = spark.read.schema(TRUTH).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder).withColumn("stem", file_stem(F.col("_metadata.file_path")))
+    rows = spark.read.schema(TRUTH).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder).withColumn("stem", file_stem(F.url_decode(F.col("_metadata.file_path")), folder))
     kinds = [(k[:-1], F.col(k)) for k in ("facades", "windows", "doors", "socles")]
     every = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(c, F.array().cast("array<struct<name:string,label:string,type:string,parent_facade:string,bbox:array<int>,area_m2:double,total_area_m2:double,area:double>>")).alias("items")) for k, c in kinds))
     rows = rows.select("stem", F.explode(every).alias("k")).select("stem", "k.kind", F.posexplode("k.items").alias("ord", "i"))
@@ -81,7 +88,7 @@ def voc_annotations(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes of Pascal VOC files: stem, width, height, ord, name, x, y, w, h;
     objects without a name or a box are left out."""
     rows = spark.read.format("xml").option("rowTag", "annotation").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").schema(VOC).load(folder)
-    rows = rows.withColumn("stem", file_stem(F.col("_metadata.file_path"))).select("stem", "size.width", "size.height", F.posexplode("object").alias("ord", "o"))
+    rows = rows.withColumn("stem", file_stem(F.url_decode(F.col("_metadata.file_path")), folder)).select("stem", "size.width", "size.height", F.posexplode("object").alias("ord", "o"))
     b = F.col("o.bndbox")
     rows = rows.filter((F.coalesce(F.trim("o.name"), F.lit("")) != "") & b["xmin"].isNotNull())
     return rows.select("stem", "width", "height", "ord", F.trim("o.name").alias("name"), b["xmin"].alias("x"), b["ymin"].alias("y"), F.greatest(b["xmax"] - b["xmin"], F.lit(0.0)).alias("w"), F.greatest(b["ymax"] - b["ymin"], F.lit(0.0)).alias("h"))
@@ -90,8 +97,8 @@ def voc_annotations(spark: SparkSession, folder: str) -> DataFrame:
 def label_json(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes of centre-based label files, as top-left boxes."""
     schema = "annotations array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
-    rows = rows.withColumn("stem", file_stem(F.col("_metadata.file_path"))).select("stem", F.posexplode("annotations").alias("ord", "a"))
+    rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
+    rows = rows.withColumn("stem", file_stem(F.url_decode(F.col("_metadata.file_path")), folder)).select("stem", F.posexplode("annotations").alias("ord", "a"))
     c = F.col("a.coordinates")
     return rows.select("stem", "ord", F.col("a.label").alias("name"), (c["x"] - c["width"] / 2).alias("x"), (c["y"] - c["height"] / 2).alias("y"), c["width"].alias("w"), c["height"].alias("h"))
 
@@ -99,7 +106,7 @@ def label_json(spark: SparkSession, folder: str) -> DataFrame:
 def yolo_labels(spark: SparkSession, folder: str, classes: dict[int, int] | None = None) -> DataFrame:
     """Lines of label files: stem, class_id, rest of the line. ``classes``
     maps ids to ours; others are dropped."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder).withColumn("stem", file_stem(F.col("_metadata.file_path")))
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder).withColumn("stem", file_stem(F.url_decode(F.col("_metadata.file_path")), folder))
     parts = F.split(F.trim("value"), r"\s+", 2)
     rows = rows.filter(F.size(F.split(F.trim("value"), r"\s+")) >= 5).select("stem", F.get(parts, F.lit(0)).try_cast("int").alias("class_id"), F.get(parts, F.lit(1)).alias("rest")).filter("class_id IS NOT NULL")
     if classes is None:
@@ -165,3 +172,32 @@ def manual_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Rows entered by hand: facade, kind, label, area_m2, missing as 0."""
     schema = T.StructType([T.StructField("facade", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("label", T.StringType()), T.StructField("area_m2", T.DoubleType())])
     return spark.createDataFrame([(r.get("facade"), r.get("kind"), r.get("label"), float(r.get("area_m2") or 0)) for r in rows], schema)
+
+
+#: Schema of a reference shape: boxes and contours, or areas of openings.
+REFERENCE = (
+    "reference_id string, scene string, image_size array<double>, targets struct<facade_bbox:array<double>,socle_bbox:array<double>,facade_contour:array<array<double>>,socle_contour:array<array<double>>,"
+    "window_boxes:array<array<double>>,door_boxes:array<array<double>>,facade_net_area_m2:double,socle_area_m2:double,openings:array<struct<id:string,type:string,target_area_m2:double,notes:string>>>"
+)
+
+
+def reference_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference shapes of a folder: stem, reference_id, scene, width, height
+    and the targets; a byte-order mark is skipped, missing fields are null."""
+    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder).withColumn("stem", file_stem(F.url_decode(F.col("_metadata.file_path")), folder))
+    rows = rows.withColumn("r", F.from_json(F.regexp_replace("value", "^\ufeff", ""), REFERENCE)).filter("r.targets IS NOT NULL")
+    return rows.select("stem", "r.reference_id", "r.scene", F.get("r.image_size", F.lit(0)).alias("width"), F.get("r.image_size", F.lit(1)).alias("height"), "r.targets.*")
+
+
+BOXES = "array<struct<x:double,y:double,w:double,h:double>>"
+
+
+def baseline_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """Boxes of the cases of an earlier regression report: case_id, kind, ord,
+    x, y, w, h. The cases stand below ``cases`` or are the whole file."""
+    case = f"struct<id:string,facades:{BOXES},windows:{BOXES},doors:{BOXES},socles:{BOXES}>"
+    text = F.regexp_replace("value", "^\ufeff", "")
+    rows = spark.read.option("wholetext", "true").text(path).select(F.from_json(text, f"struct<cases:array<{case}>>").alias("m"), F.from_json(text, f"array<{case}>").alias("l"))
+    rows = rows.select(F.explode(F.coalesce("m.cases", "l")).alias("c"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"c.{k}s"), F.array().cast(BOXES)).alias("boxes")) for k in ("facade", "window", "door", "socle")))
+    return rows.select(F.col("c.id").alias("case_id"), F.explode(kinds).alias("k")).select("case_id", "k.kind", F.posexplode("k.boxes").alias("ord", "b")).select("case_id", "kind", "ord", "b.*")

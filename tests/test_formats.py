@@ -41,6 +41,32 @@ def test_truth_and_annotations(spark, tmp_path):
     assert [r[0] for r in ids] == [2, 0]
 
 
+def test_equal_names_in_two_folders_stay_apart(spark, tmp_path):
+    for owner, size in (("one", "0.01"), ("two two", "0.02")):
+        (tmp_path / owner).mkdir()
+        (tmp_path / owner / "Fatada.pgw").write_text(f"{size}\n0\n0\n-{size}\n5\n6")
+        (tmp_path / owner / "Fatada.json").write_text(json.dumps([{"annotations": [{"label": owner, "coordinates": {"x": 5, "y": 5, "width": 2, "height": 2}}]}]))
+    assert {r["stem"]: r["px_per_m"] for r in S.world_files(spark, str(tmp_path)).collect()} == {"one/fatada": 100.0, "two two/fatada": 50.0}
+    assert {r["stem"]: r["name"] for r in S.label_json(spark, f"file://{tmp_path}/").collect()} == {"one/fatada": "one", "two two/fatada": "two two"}
+
+
+def test_reference_shapes_and_baselines(spark, tmp_path):
+    refs = tmp_path / "refs"
+    refs.mkdir()
+    shape = {"reference_id": "a", "scene": "flat", "image_size": [100, 50], "targets": {"facade_bbox": [1, 2, 3, 4], "facade_contour": [[0, 0], [1, 1]], "window_boxes": [[1, 1, 2, 2]]}}
+    (refs / "a.json").write_text("\ufeff" + json.dumps(shape), encoding="utf-8")
+    (refs / "b.json").write_text(json.dumps({"reference_id": "b", "targets": {"facade_net_area_m2": 24.81, "openings": [{"id": "o1", "type": "window", "target_area_m2": 1.5}]}}))
+    (refs / "c.json").write_text("{}")
+    got = {r["stem"]: r for r in S.reference_shapes(spark, str(refs)).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["facade_bbox"] == [1, 2, 3, 4] and (got["a"]["width"], got["a"]["height"]) == (100, 50)
+    assert got["b"]["openings"][0]["target_area_m2"] == 1.5 and got["b"]["facade_bbox"] is None
+    case = {"id": "x", "facades": [{"x": 1, "y": 2, "w": 3, "h": 4}], "doors": [{"x": 5, "y": 6, "w": 7, "h": 8}, {"x": 0, "y": 0, "w": 1, "h": 1}]}
+    for name, body in (("m.json", {"cases": [case]}), ("l.json", [case])):
+        (tmp_path / name).write_text(json.dumps(body))
+        rows = sorted((r["case_id"], r["kind"], r["ord"], r["x"], r["h"]) for r in S.baseline_boxes(spark, str(tmp_path / name)).collect())
+        assert rows == [("x", "door", 0, 5.0, 8.0), ("x", "door", 1, 0.0, 1.0), ("x", "facade", 0, 1.0, 4.0)]
+
+
 def test_manifest_with_mark(spark, tmp_path):
     (tmp_path / "m.json").write_text("﻿" + json.dumps({"scenarios": [{"id": "a", "expected": {"windows": 4}, "focus": ["x"]}, {"id": "b"}]}), encoding="utf-8")
     rows = S.manifest(spark, str(tmp_path / "m.json")).collect()
@@ -78,16 +104,27 @@ def test_listings_and_manual_rows(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.PNG", "sub/b.jpg", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
-    assert sorted(r["stem"] for r in S.image_files(spark, str(tmp_path)).collect()) == ["a", "b"]
+    assert sorted(r["stem"] for r in S.image_files(spark, str(tmp_path)).collect()) == ["a", "sub/b"]
     assert [r["stem"] for r in S.image_files(spark, str(tmp_path), recursive=False).collect()] == ["a"]
     rows = S.manual_rows(spark, [{"facade": "A", "kind": "door", "label": "U1", "area_m2": 2}, {"facade": "A"}]).collect()
     assert [tuple(r) for r in rows] == [("A", "door", "U1", 2.0), ("A", None, None, 0.0)]
 
 
 def test_workbooks_and_labels(spark, tmp_path):
-    lists = spark.createDataFrame([(1, 1, 1, "gross", "mp", 2.5), (1, 1, 2, "net", "mp", 2.0), (2, 1, 1, "gross", "mp", 0.0)], "image_id long, section int, line int, label string, unit string, quantity double")
-    files = {r["image_id"]: r["file"] for r in D.write_workbooks(lists, f"file://{tmp_path}/books").collect()}
-    assert files == {1: "quantities-1.xlsx", 2: "quantities-2.xlsx"} and zipfile.is_zipfile(tmp_path / "books" / "quantities-1.xlsx")
+    columns = ["total_m2", "carpentry_m2", "net_m2", "socle_m2", "windows_m2", "doors_m2", "sill_m", "drip_m", "corner_m", "socle_drip_m", "window_perimeter_m", "door_perimeter_m"]
+    facades = spark.createDataFrame([(1, 2, "B", *map(float, range(12))), (1, 1, "A", *([2.0] * 12)), (2, 1, "C", *([0.0] * 12))], "image_id long, facade_id long, name string, " + ", ".join(f"{c} double" for c in columns))
+    elements = spark.createDataFrame([(1, 1, "t1", "door", "U1", 1.5), (1, 1, "t2", "window", "F1", 0.5), (3, 1, "x", "door", "U9", 1.0)], "image_id long, facade_id long, element_id string, kind string, label string, area_m2 double")
+    files = {r["image_id"]: r["file"] for r in D.write_workbooks(facades, elements, f"file://{tmp_path}/books").collect()}
+    assert files == {1: "quantities-1.xlsx", 2: "quantities-2.xlsx"}
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    with zipfile.ZipFile(tmp_path / "books" / "quantities-1.xlsx") as z:
+        sheets = [[["".join(c.itertext()) for c in row] for row in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).findall(".//m:row", ns)] for i in (1, 2, 3)]
+    assert sheets[0][0] == ["RAPORT CANTITATI - 1"] and len(sheets[0][3]) == 7
+    assert sheets[0][4:8] == [["1", "A", "FATADA", "Termosistem", "2.0"], ["A", "F1", "Fereastra", "0.5"], ["A", "U1", "Usa", "1.5"], ["  Subtotal A", "2.0", "2.0"]]
+    assert [r[0] for r in sheets[0][-10:]] == [t for t, _ in D.TOTALS] and sheets[0][-10] == ["TOTAL SUPRAFATA FATADE", "2.0"]
+    assert [len(r) for r in sheets[1][2:]] == [11] * 4 and sheets[1][-1][:3] == ["TOTAL", "2.0", "3.0"]
+    assert ["Glaf exterior", "8.0"] in sheets[2] and sheets[2][-1] == ["TOTAL goluri (uși + ferestre)", "3.0"]
+    assert sum(len(r) >= 2 and r[0] != "Descriere" for r in sheets[2]) == 22
     images = spark.createDataFrame([(f"i{i}",) for i in range(30)], "stem string")
     split = D.validation_split(images)
     assert split.filter("split = 'val'").count() == 4 and split.count() == 30
