@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import config
 from . import kernels as K
+from . import lines as L
 from . import refine as R
 
 REGIONS = T.StructType([
@@ -87,28 +88,112 @@ def photo_openings(bgr: np.ndarray, facade: tuple[int, int, int, int, int]) -> l
     return out
 
 
-def detect_all(bgr: np.ndarray) -> list[tuple[str, str, tuple[int, int, int, int, int]]]:
-    """Kind, origin and box of all regions: marked colours first; without a
-    marked facade (or with a tiny one) the photograph rules."""
-    area = bgr.shape[0] * bgr.shape[1]
-    facades = marked_facades(bgr)
-    if facades and max(b[4] for b in facades) >= 0.02 * area:
-        out = [("facade", "color", b) for b in facades]
-        return out + [("window", "color", b) for b in marked_windows(bgr)] + [("door", "color", b) for b in marked_doors(bgr)]
+def dark_background(bgr: np.ndarray) -> bool:
+    return K.border_percentile(K.gray(bgr), 80.0) <= 25.0
+
+
+def inferred_facades(boxes: list[R.Box], height: int, width: int) -> list[R.Box]:
+    """Facades around openings where none was found: rows by the running mean
+    of centre heights, cut at wide gaps, with margins; unions of those that
+    overlap."""
+    near, gap = max(60, height // 14), max(140, width // 7)
+    side, above, below = max(70, width // 30), max(110, height // 8), max(80, height // 12)
+    centre = lambda b: (b[0] + b[2] // 2, b[1] + b[3] // 2)
+    rows: list[list[R.Box]] = []
+    for b in sorted(boxes, key=lambda b: centre(b)[::-1]):
+        mean = lambda row: int(sum(centre(x)[1] for x in row) / len(row))
+        row = next((r for r in rows if abs(centre(b)[1] - mean(r)) <= near), None)
+        if row is None:
+            rows.append([b])
+        else:
+            row.append(b)
+    out: list[list[int]] = []
+    for row in rows:
+        row.sort(key=lambda b: centre(b)[0])
+        cuts = [i for i in range(1, len(row)) if centre(row[i])[0] - centre(row[i - 1])[0] > gap]
+        for i, j in zip([0, *cuts], [*cuts, len(row)], strict=True):
+            part = row[i:j]
+            x, y = max(0, min(b[0] for b in part) - side), max(0, min(b[1] for b in part) - above)
+            right, bottom = min(width, max(b[0] + b[2] for b in part) + side), min(height, max(b[1] + b[3] for b in part) + below)
+            if right - x >= 120 and bottom - y >= 90:
+                out.append([x, y, right, bottom])
+    merged: list[list[int]] = []
+    for f in sorted(out, key=lambda f: (f[1], f[0])):
+        for k in [k for k in merged if min(f[2], k[2]) > max(f[0], k[0]) and min(f[3], k[3]) > max(f[1], k[1])]:
+            merged.remove(k)
+            f = [min(f[0], k[0]), min(f[1], k[1]), max(f[2], k[2]), max(f[3], k[3])]
+        merged.append(f)
+    return [(x, y, right - x, bottom - y) for x, y, right, bottom in merged]
+
+
+def marked_up(bgr: np.ndarray) -> list[tuple[str, str, tuple[int, int, int, int, int]]]:
+    """Facades outlined by a red pen, and the windows outlined in yellow that
+    lie and are sized plausibly in theirs; none without such a facade."""
+    found = L.markup(bgr)
+    walls = [b for kind, b in found if kind == "facade"]
+    out = [("facade", "markup", (*b, b[2] * b[3])) for b in walls]
+    for x, y, w, h in (b for kind, b in found if kind == "window" and walls):
+        cx, cy = x + w // 2, y + h // 2
+        far = lambda f: (not (f[0] <= cx <= f[0] + f[2] and f[1] <= cy <= f[1] + f[3]), (cx - f[0] - f[2] / 2) ** 2 + (cy - f[1] - f[3] / 2) ** 2)  # noqa: B023, E731
+        f = min(walls, key=far)
+        if cy <= f[1] + f[3] * 0.72 and 0.006 <= w * h / (f[2] * f[3]) <= 0.30:
+            out.append(("window", "markup", (x, y, w, h, w * h)))
+    return out
+
+
+def photographed(bgr: np.ndarray) -> list[tuple[str, str, tuple[int, int, int, int, int]]]:
+    """The wall of a photograph with its openings; by colour where the border's
+    level doesn't tell it from the ground."""
     facade = photo_facade(bgr)
     if facade is None:
-        return []
+        mask = R.segmented_facade(bgr)
+        if mask is None or mask.mean() > 0.85:
+            return []
+        mask = R.side_trimmed(mask)
+        rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+        box = (int(columns[0]), int(rows[0]), int(np.ptp(columns)) + 1, int(np.ptp(rows)) + 1)
+        if box[3] < 0.20 * bgr.shape[0]:
+            return []
+        facade = (*box, int(mask.sum()))
     out = [("facade", "photo", facade)]
-    fx, fy, fw, fh, _ = facade
+    _, fy, fw, fh, _ = facade
     g, wall = K.gray(bgr), facade[:4]
     boxes = [b[:4] for b in photo_openings(bgr, facade)]
     boxes = R.distinct(boxes + R.windows_by_contrast(g, wall) + R.windows_by_gradient(g, wall))
     boxes = R.distinct(boxes + R.gap_doors(boxes, wall, g))
-    for b in ((*b, b[2] * b[3]) for b in boxes):
-        low, tall = (b[1] + b[3] - fy) / fh >= 0.72, 0.20 <= b[3] / fh <= 0.82
-        door = low and tall and 0.28 <= b[2] / b[3] <= 1.25 and 0.04 <= b[2] / fw <= 0.28
-        out.append(("door" if door else "window", "photo", b))
-    return out
+    is_door = lambda b: (b[1] + b[3] - fy) / fh >= 0.72 and 0.20 <= b[3] / fh <= 0.82 and 0.28 <= b[2] / b[3] <= 1.25 and 0.04 <= b[2] / fw <= 0.28
+    doors = R.distinct([R.door_by_jambs(g, b) for b in boxes if is_door(b)])
+    windows = [part for b in boxes if not is_door(b) for part in (R.split_wide(g, b) if b[2] > 0.35 * fw else [b])]
+    # What is found beside a door is a window of its own where nothing else is.
+    for door in doors:
+        for light in R.sidelights(g, door, wall):
+            if len(R.distinct([light, *windows, *doors])) == len(windows) + len(doors) + 1:
+                windows.append(light)
+    return out + [(kind, "photo", (*b, b[2] * b[3])) for kind, bs in (("window", windows), ("door", doors)) for b in bs]
+
+
+def detect_all(bgr: np.ndarray) -> list[tuple[str, str, tuple[int, int, int, int, int]]]:
+    """Kind, origin and box of all regions. Facades outlined by hand come
+    first; then filled ones in marking colours; without any (or with a tiny
+    one), or where windows on a dark ground have no door, the photograph rules;
+    facades around marked openings where nothing else gives one."""
+    if marked := marked_up(bgr):
+        return marked
+    height, width = bgr.shape[:2]
+    facades, windows, doors = marked_facades(bgr), marked_windows(bgr), marked_doors(bgr)
+    if facades and max(b[4] for b in facades) < 0.02 * height * width:
+        facades = []
+    if not facades:
+        if photo := photographed(bgr):
+            return photo
+    elif not doors and len(windows) >= 4 and dark_background(bgr):
+        photo = photographed(bgr)
+        if any(kind == "door" for kind, _, _ in photo):
+            return photo
+    out = [("facade", "color", b) for b in facades]
+    if not facades:
+        out = [("facade", "inferred", (*b, b[2] * b[3])) for b in inferred_facades([b[:4] for b in windows + doors], height, width)]
+    return out + [("window", "color", b) for b in windows] + [("door", "color", b) for b in doors]
 
 
 def bgr_of(row: dict) -> np.ndarray | None:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from elevata.operators import kernels as K
-from elevata.operators.detect import detect_all, detected_regions
+from elevata.operators.detect import detect_all, detected_regions, inferred_facades
 from elevata.sinks.documents import png
 
 
@@ -111,6 +111,36 @@ def test_photograph():
     assert sum(k == "window" for k, *_ in found) == 3 and sum(k == "door" for k, *_ in found) == 1
 
 
+def outlined(image, colour, box, pen=4):
+    x, y, w, h = box
+    for part in (np.s_[y: y + pen, x: x + w], np.s_[y + h - pen: y + h, x: x + w], np.s_[y: y + h, x: x + pen], np.s_[y: y + h, x + w - pen: x + w]):
+        image[part] = colour
+
+
+def test_markup_comes_first():
+    image = elevation(), np.full((500, 800, 3), 200, np.uint8)
+    for boxes in ([(150, 120, 80, 60), (400, 130, 90, 70)], []):
+        drawn = image[1].copy()
+        outlined(drawn, bgr_of(0, 220, 220), (100, 50, 600, 400))
+        for b in [*boxes, (300, 380, 70, 50)]:  # the last one stands too low
+            outlined(drawn, bgr_of(25, 200, 230), b)
+        found = detect_all(drawn)
+        assert {how for _, how, _ in found} == {"markup"}
+        assert [k for k, *_ in found] == ["facade"] + ["window"] * len(boxes)
+        for (_, _, got), want in zip(found, [(100, 50, 600, 400), *boxes], strict=True):
+            assert np.abs(np.array(got[:4]) - want).max() <= 6
+
+
+def test_facades_around_openings():
+    image = np.full((600, 1000, 3), 200, np.uint8)
+    for x, y in ((100, 150), (200, 155), (320, 150), (800, 400)):
+        image[y: y + 50, x: x + 60] = bgr_of(25, 200, 230)
+    found = detect_all(image)
+    assert [(k, how) for k, how, _ in found if k == "facade"] == [("facade", "inferred")] * 2 and sum(k == "window" for k, *_ in found) == 4
+    assert inferred_facades([(100, 150, 60, 50), (200, 155, 60, 50), (800, 400, 60, 50)], 600, 1000) == [(30, 40, 300, 245), (730, 290, 200, 240)]
+    assert inferred_facades([], 600, 1000) == [] and detect_all(np.full((200, 200, 3), 120, np.uint8)) == []
+
+
 def test_opening_evidence():
     wall = np.full((120, 160), 225, np.uint8)
     hole = wall.copy()
