@@ -13,25 +13,28 @@ from pyspark.sql import functions as F
 from ..functions.boxes import Box, intersection
 
 
-def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, order: list[Column]) -> DataFrame:
+def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, order: list[Column], carry: tuple[str, ...] = ()) -> DataFrame:
     """One-to-one pairs: walk in ``order``, skip what is used already.
 
     ``order`` sorts ascending; with the left side's place first it becomes
     the left-driven variant, in which each left row takes the best right one
-    that is still free.
+    that is still free. Columns to ``carry`` come out with the chosen pairs.
     """
-    keyed = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(left).cast("long").alias("l"), F.col(right).cast("long").alias("r"))
+    keyed = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(left).cast("long").alias("l"), F.col(right).cast("long").alias("r"), *(F.col(c).alias(f"c_{c}") for c in carry))
     rows = pairs.select(F.col(group), keyed.alias("p")).groupBy(group).agg(F.array_sort(F.collect_list("p")).alias("ps"))
     empty = F.array().cast("array<bigint>")
-    start = F.struct(empty.alias("l"), empty.alias("r"))
+    names = {"l": left, "r": right} | {f"c_{c}": c for c in carry}
+    kinds = {"l": "bigint", "r": "bigint"} | {f"c_{c}": pairs.schema[c].dataType.simpleString() for c in carry}
+    start = F.struct(empty.alias("l"), empty.alias("r"), F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in kinds.items())}>>").alias("out"))
 
     def walk(state: Column, p: Column) -> Column:
         used = F.array_contains(state["l"], p["l"]) | F.array_contains(state["r"], p["r"])
-        grown = F.struct(F.concat(state["l"], F.array(p["l"])).alias("l"), F.concat(state["r"], F.array(p["r"])).alias("r"))
+        own = F.struct(*(p[n].alias(n) for n in names))
+        grown = F.struct(F.concat(state["l"], F.array(p["l"])).alias("l"), F.concat(state["r"], F.array(p["r"])).alias("r"), F.concat(state["out"], F.array(own)).alias("out"))
         return F.when(used, state).otherwise(grown)
 
     done = rows.select(group, F.aggregate("ps", start, walk).alias("s"))
-    return done.select(group, F.explode(F.arrays_zip("s.l", "s.r")).alias("m")).select(group, F.col("m.l").alias(left), F.col("m.r").alias(right))
+    return done.select(group, F.explode("s.out").alias("m")).select(group, *(F.col(f"m.{n}").alias(c) for n, c in names.items()))
 
 
 def suppress(regions: DataFrame, group: str, most_iou: float = 0.30, most_contained: float = 0.72) -> DataFrame:

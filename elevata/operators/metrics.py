@@ -30,8 +30,8 @@ def facade_iou(pred: DataFrame, truth: DataFrame, least: float = 0.1) -> DataFra
     """Mean IoU of each sample: each prediction, in order, takes the best
     truth still free, if it reaches ``least``; what stays alone counts 0."""
     pairs = _pairs(pred, truth).withColumn("iou", iou(Box.of("p"), Box.of("g"))).filter((F.col("iou") >= least) & (F.col("iou") > 0))
-    chosen = greedy_pairs(pairs, "sample_id", "pred_id", "gt_id", [F.col("pred_id"), -F.col("iou")])
-    found = pairs.join(chosen, ["sample_id", "pred_id", "gt_id"], "left_semi").groupBy("sample_id").agg(F.sum(F.round("iou", 9)).alias("s"), F.count("*").alias("n"))
+    chosen = greedy_pairs(pairs, "sample_id", "pred_id", "gt_id", [F.col("pred_id"), -F.col("iou")], ("iou",))
+    found = chosen.groupBy("sample_id").agg(F.sum(F.round("iou", 9)).alias("s"), F.count("*").alias("n"))
     rows = _counts(pred, truth).join(found, "sample_id", "left").na.fill(0, ["s", "n"])
     total = F.col("n_pred") + F.col("n_gt") - F.col("n")
     mean = F.when(F.col("n_gt") == 0, F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)).otherwise(F.col("s") / total)
@@ -41,8 +41,8 @@ def facade_iou(pred: DataFrame, truth: DataFrame, least: float = 0.1) -> DataFra
 def nearest_matches(pred: DataFrame, truth: DataFrame, distance: float = config.METRIC_DISTANCE) -> DataFrame:
     """Each prediction, in order, takes the nearest truth that is free."""
     pairs = _pairs(pred, truth).withColumn("d", centre_distance(Box.of("p"), Box.of("g"))).filter(F.col("d") <= distance)
-    chosen = greedy_pairs(pairs, "sample_id", "pred_id", "gt_id", [F.col("pred_id"), F.col("d")])
-    return pairs.join(chosen, ["sample_id", "pred_id", "gt_id"], "left_semi")
+    carry = tuple(c for c in ("area_cm2", "gt_cm2") if c in pairs.columns)
+    return greedy_pairs(pairs, "sample_id", "pred_id", "gt_id", [F.col("pred_id"), F.col("d")], carry)
 
 
 def window_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:
