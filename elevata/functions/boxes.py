@@ -102,3 +102,21 @@ def yolo_line(class_id: Column, box: Box, width: Column, height: Column) -> Colu
     clamp = lambda c, low: F.bround(F.least(F.greatest(c, F.lit(low)), F.lit(1.0)), 6)
     line = F.format_string("%d %.6f %.6f %.6f %.6f", class_id.cast("int"), clamp(box.cx / width, 0.0), clamp(box.cy / height, 0.0), clamp(box.w / width, 0.001), clamp(box.h / height, 0.001))
     return F.when((box.w > 0) & (box.h > 0) & (width > 0) & (height > 0), line)
+
+
+def relative_box(box: Box, within: Box) -> Column:
+    """A box in shares of another one, to six decimals; null where that is
+    empty."""
+    part = lambda value, size: F.round(value / size, 6)
+    shares = F.struct(part(box.x - within.x, within.w).alias("x"), part(box.y - within.y, within.h).alias("y"), part(box.w, within.w).alias("w"), part(box.h, within.h).alias("h"))
+    return F.when((within.w > 0) & (within.h > 0), shares)
+
+
+def relative_points(points: Column, within: Box) -> Column:
+    """Points (x, y) in shares of a box, to six decimals."""
+    return F.transform(points, lambda p: F.struct(F.round((p["x"] - within.x) / within.w, 6).alias("x"), F.round((p["y"] - within.y) / within.h, 6).alias("y")))
+
+
+def pixel_area(mask_px: Column, box: Box) -> Column:
+    """Pixels of a region's mask where there is one, else of its box."""
+    return F.when(mask_px > 0, mask_px).otherwise(box.area)

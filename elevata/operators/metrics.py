@@ -123,3 +123,28 @@ def geometry_metrics(facade: Box, socle: Box, door: Box, profile: Column) -> Col
     """Offsets between a facade, its socle, the socle line and a door."""
     gap = lambda b: F.bround(b.bottom - line_y(profile, b.cx)).cast("long")
     return F.struct((facade.x - socle.x).alias("left_offset"), (socle.right - facade.right).alias("right_offset"), gap(facade).alias("facade_to_line"), gap(door).alias("door_to_line"))
+
+
+def sample_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """All scores of each sample in one row, to four decimals: mean IoU,
+    precision, recall, F1, and errors of areas (null without matched areas)."""
+    rows = facade_iou(pred, truth).join(window_scores(pred, truth), "sample_id").join(area_errors(pred, truth), "sample_id", "left")
+    return rows.select("sample_id", *(F.round(c, 4).alias(c) for c in ("mean_iou", "precision", "recall", "f1", "mean_error_m2", "max_error_m2")))
+
+
+def filled_truth(truth: DataFrame, found: DataFrame, images: DataFrame) -> DataFrame:
+    """Truth of all images: that of ``truth``, and for images without any what
+    was found in them (``source`` says which). All are keyed by ``stem``."""
+    empty = images.select("stem").distinct().join(truth.select("stem").distinct(), "stem", "left_anti")
+    own = truth.withColumn("source", F.lit("truth"))
+    return own.unionByName(found.join(empty, "stem", "left_semi").withColumn("source", F.lit("found")), allowMissingColumns=True)
+
+
+def scenario_json(scores: DataFrame, key: str) -> DataFrame:
+    """One JSON text for each scenario: its number of samples, mean scores and
+    the samples' own scores in the order of their ids."""
+    names = [c for c in scores.columns if c not in (key, "sample_id")]
+    sample = F.struct("sample_id", *names)
+    means = F.struct(*(F.round(F.avg(c), 4).alias(c) for c in names))
+    rows = scores.groupBy(key).agg(F.count("*").alias("n"), means.alias("means"), F.array_sort(F.collect_list(sample)).alias("samples"))
+    return rows.select(key, F.to_json(F.struct(F.col(key).alias("scenario"), "n", "means", "samples")).alias("json"))

@@ -308,3 +308,17 @@ def routed_regions(detected: DataFrame, predicted: DataFrame, images: DataFrame)
     own = detected.join(route, "image_id").filter(~F.col("use") | ~opening).select(*detected.columns, F.lit("detected").alias("route"))
     new = predicted.join(route, "image_id").filter(F.col("use") & (opening | ((F.col("kind") == "facade") & F.col("bare")))).select(*detected.columns, F.lit("predicted").alias("route"))
     return own.unionByName(new)
+
+
+def photo_window(origin: Column) -> Column:
+    """Whether a region's origin says that it is a window of a photograph."""
+    low = F.lower(F.coalesce(origin, F.lit("")))
+    return F.contains(low, F.lit("photo")) & F.contains(low, F.lit("window"))
+
+
+def with_box(regions: DataFrame, box: Box) -> DataFrame:
+    """Regions with new boxes: the area follows, an outline goes."""
+    sides = {"x": box.x, "y": box.y, "w": box.w, "h": box.h}
+    out = regions.withColumns({f"_{c}": v.cast("long") for c, v in sides.items()}).withColumns({c: F.col(f"_{c}") for c in sides}).drop(*(f"_{c}" for c in sides))
+    out = out.withColumn("area_px", F.col("w") * F.col("h"))
+    return out.withColumn("contour", F.lit(None).cast(regions.schema["contour"].dataType)) if "contour" in regions.columns else out

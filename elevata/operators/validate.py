@@ -80,3 +80,10 @@ def reference_verdicts(checks: DataFrame) -> DataFrame:
     box = Box.of()
     invalid = (box.x < 0) | (box.y < 0) | (box.right > F.col("width")) | (box.bottom > F.col("height")) | (F.col("area_px") < 1000)
     return checks.select("id", F.when(invalid, "INVALID").when(~F.col("same_size") | (F.col("n_bright") > 0), "WARNING").otherwise("VALID").alias("verdict"))
+
+
+def validation_summary(errors: DataFrame, images: DataFrame) -> DataFrame:
+    """One row: files that were checked, that broke a rule, and that passed."""
+    failed = errors.select("file_id").distinct().withColumn("bad", F.lit(1))
+    rows = images.select("file_id").distinct().join(failed, "file_id", "left")
+    return rows.agg(F.count("*").alias("n_files"), F.count("bad").alias("n_failed"), (F.count("*") - F.count("bad")).alias("n_passed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.boxes import Box, yolo_line
+from ..functions.boxes import Box, pixel_area, relative_box, relative_points, yolo_line
 from ..operators import metrics as M
 from ..operators import pixels as P
 from ..operators import validate as V
@@ -91,6 +91,34 @@ def annotation_validation(spark, sf):
     return V.annotation_errors(facades.unionByName(parts), images, strict=True)
 
 
+def validation_summary(spark, sf):
+    """How many files of `annotation_validation` broke a rule."""
+    return V.validation_summary(annotation_validation(spark, sf), view(spark, sf, "v_facade").select(F.col("facade_id").alias("file_id")))
+
+
+def sample_scores(spark, sf):
+    """Every score of each sample."""
+    rows = M.sample_scores(*_wide(spark, sf))
+    return rows.na.fill(-1.0, ["mean_error_m2", "max_error_m2"])
+
+
+def filled_truth(spark, sf):
+    """Openings of one side as truth; facades without any take the others."""
+    e = view(spark, sf, "v_element").select(F.col("facade_id").alias("stem"), "element_id", "side", *"xywh")
+    images = view(spark, sf, "v_facade").select(F.col("facade_id").alias("stem"))
+    side = lambda s: e.filter(F.col("side") == s).drop("side")
+    return M.filled_truth(side("F"), side("O"), images)
+
+
+def relative_boxes(spark, sf):
+    """Openings and a point of each in shares of their facade."""
+    f = view(spark, sf, "v_facade").select("facade_id", *(F.col(c).alias("f" + c) for c in "xywh"))
+    e = view(spark, sf, "v_element").join(f, "facade_id")
+    middle = F.array(F.struct((F.col("x") + F.floor(F.col("w") / 2)).alias("x"), (F.col("y") + F.floor(F.col("h") / 2)).alias("y")))
+    out = e.select("element_id", relative_box(Box.of(), Box.of("f")).alias("b"), F.get(relative_points(middle, Box.of("f")), F.lit(0)).alias("p"), pixel_area(F.when(F.col("score") % 2 == 0, F.col("score")), Box.of()).alias("area_px"))
+    return out.select("element_id", "b.*", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "area_px")
+
+
 def reference_verdicts(spark, sf):
     f = view(spark, sf, "v_facade")
     c = F.col("facade_id")
@@ -165,8 +193,8 @@ def _match(p: str, g: str, tag: str = "") -> str:
 PIX = duck("v_pixel")
 TOP = "t AS (SELECT image_id, x, coalesce(min(y) FILTER (WHERE v > 0.1::DOUBLE), -1) AS top, coalesce(max(y) FILTER (WHERE v > 0.1::DOUBLE), -1) AS bottom FROM v_pixel GROUP BY image_id, x)"
 QUERIES = {f.__name__: f for f in (
-    eval_iou, eval_windows, eval_area, eval_match, positional_iou, micro_pr, scenario_rollup, count_checks, geometry_metrics, baseline_delta, annotation_validation, reference_verdicts,
-    row_occupancy, top_profile, percentile_mask, profile_steps, rolling_profile, connected_components, hsv_range, yolo_lines, worldfile_scales, prediction_adapter,
+    eval_iou, eval_windows, eval_area, eval_match, positional_iou, micro_pr, scenario_rollup, count_checks, geometry_metrics, baseline_delta, annotation_validation, validation_summary, sample_scores, filled_truth,
+    relative_boxes, reference_verdicts, row_occupancy, top_profile, percentile_mask, profile_steps, rolling_profile, connected_components, hsv_range, yolo_lines, worldfile_scales, prediction_adapter,
 )}
 ORACLES = {
     "eval_iou": f"""{SIDES}, q AS (SELECT p.sample_id, p.id AS pred_id, g.id AS gt_id, {iou("p", "g")} AS v FROM p JOIN g USING (sample_id) WHERE {iou("p", "g")} >= 0.1), {greedy("q", "sample_id", "pred_id", "gt_id", "pred_id, v DESC, gt_id")}, {CNT},
@@ -220,3 +248,15 @@ ORACLES = {
     "prediction_adapter": f"""{duck("v_element")}, k AS (SELECT facade_id AS image_id, element_id AS pred_id, x, y, w - score % 40 AS w, h, CASE score % 5 WHEN 0 THEN 'window' WHEN 1 THEN 'door' WHEN 2 THEN 'socle' WHEN 3 THEN 'facade' ELSE CASE score % 8 % 3 WHEN 0 THEN 'facade' WHEN 1 THEN 'window' ELSE 'door' END END AS kind FROM v_element)
         SELECT image_id, pred_id, kind, CASE kind WHEN 'facade' THEN 'FATADA_' WHEN 'window' THEN 'F_' WHEN 'door' THEN 'U_' ELSE 'SOCLU_' END || row_number() OVER (PARTITION BY image_id, kind ORDER BY pred_id) AS label, x, y, w, h FROM k WHERE w > 0""",
 }
+ORACLES["validation_summary"] = f"""SELECT count(*) AS n_files, count(e.file_id) AS n_failed, count(*) - count(e.file_id) AS n_passed
+    FROM (SELECT o_orderkey FROM orders) f LEFT JOIN (SELECT DISTINCT file_id FROM ({ORACLES["annotation_validation"]})) e ON e.file_id = f.o_orderkey"""
+ORACLES["sample_scores"] = f"""SELECT i.sample_id, round(mean_iou, 4) AS mean_iou, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
+      round(coalesce(mean_error_m2, -1), 4) AS mean_error_m2, round(coalesce(max_error_m2, -1), 4) AS max_error_m2
+    FROM ({ORACLES["eval_iou"].replace(SIDES, WIDE).replace(", 6) AS mean_iou", ", 12) AS mean_iou")}) i JOIN ({ORACLES["eval_windows"]}) w ON i.sample_id = w.sample_id LEFT JOIN ({ORACLES["eval_area"]}) a ON a.sample_id = i.sample_id"""
+ORACLES["filled_truth"] = f"""{duck("v_facade", "v_element")}, own AS (SELECT DISTINCT facade_id FROM v_element WHERE side = 'F')
+    SELECT facade_id AS stem, element_id, x, y, w, h, CASE side WHEN 'F' THEN 'truth' ELSE 'found' END AS source FROM v_element
+    WHERE side = 'F' OR (facade_id IN (SELECT facade_id FROM v_facade) AND facade_id NOT IN (SELECT facade_id FROM own))"""
+ORACLES["relative_boxes"] = f"""{duck("v_facade", "v_element")}
+    SELECT element_id, round((e.x - f.x) / f.w::DOUBLE, 6) AS x, round((e.y - f.y) / f.h::DOUBLE, 6) AS y, round(e.w / f.w::DOUBLE, 6) AS w, round(e.h / f.h::DOUBLE, 6) AS h,
+           round((e.x + e.w // 2 - f.x) / f.w::DOUBLE, 6) AS px, round((e.y + e.h // 2 - f.y) / f.h::DOUBLE, 6) AS py, CASE WHEN score % 2 = 0 AND score > 0 THEN score ELSE e.w * e.h END AS area_px
+    FROM v_element e JOIN v_facade f ON e.facade_id = f.facade_id"""

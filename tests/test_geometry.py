@@ -94,3 +94,36 @@ def test_geometry_stage(spark, tmp_path):
     assert len(rows) == 1
     r = rows[0]
     assert abs(r["socle_px"] - 40 * 400) <= 2000 and abs(r["socle_y"] - 240) <= 3 and abs(r["facade_px"] - 160 * 400) <= 2500
+
+
+def test_new_boxes_and_origins(spark):
+    from pyspark.sql import functions as F
+
+    from elevata.functions.boxes import Box
+    from elevata.operators import openings as O
+
+    regions = spark.createDataFrame([(1, 0, 0, 10, 10, 100, "abc")], "region_id long, x long, y long, w long, h long, area_px long, contour string")
+    row = O.with_box(regions, Box(F.col("x") + 1, F.col("x") + 2, F.col("w") * 2, F.col("w"))).first()
+    assert tuple(row) == (1, 1, 2, 20, 10, 200, None)
+    origins = spark.createDataFrame([("photo-window",), ("WINDOW photo",), ("photo",), ("color-window",), (None,)], "o string")
+    assert [r[0] for r in origins.select(O.photo_window(F.col("o"))).collect()] == [True, True, False, False, False]
+    rows = spark.createDataFrame([(1, 1, True, True, False), (1, 2, True, False, True), (2, 3, False, True, True), (2, 4, True, False, False), (3, 5, True, None, None), (3, 6, True, True, None)], "image_id long, region_id long, photo boolean, invalid boolean, bright boolean")
+    assert sorted(r["region_id"] for r in O.photo_validated(rows).collect()) == [1, 2, 3, 4, 5]  # of image 1 all would go
+    levels = spark.createDataFrame([(210.0, 10.0, 900), (210.0, 50.0, 900), (150.0, 5.0, 900), (250.0, 0.0, 20)], "m double, s double, n long")
+    assert [r[0] for r in levels.select(O.bright_wall(F.col("m"), F.col("s"), F.col("n"))).collect()] == [True, False, False, False]
+
+
+def test_scenario_texts_and_references(spark):
+    import json
+
+    from elevata.operators import metrics as M
+    from elevata.operators import validate as V
+
+    scores = spark.createDataFrame([("a", 2, 0.5, 1.0), ("a", 1, 0.25, None), ("b", 3, 1.0, 0.0)], "scenario string, sample_id long, f1 double, recall double")
+    got = {r["scenario"]: json.loads(r["json"]) for r in M.scenario_json(scores, "scenario").collect()}
+    assert got["a"] == {"scenario": "a", "n": 2, "means": {"f1": 0.375, "recall": 1.0}, "samples": [{"sample_id": 1, "f1": 0.25}, {"sample_id": 2, "f1": 0.5, "recall": 1.0}]}
+    refs = [(1, 1, "linear", 2.0, 100.0, None, None, None, None, None), (1, 2, "linear", 0.0, 100.0, None, 0, 0, 5, 5), (1, 3, "linear_from_ocr", None, None, None, 95, 0, 10, 5), (1, 4, "linear_from_ocr", None, None, 3.0, 0, 0, 0, 5), (1, 5, "other", None, None, None, None, None, None, None)]
+    frame = spark.createDataFrame(refs, "file_id long, ref_id long, type string, ref_m double, ref_px double, value_m double, x long, y long, w long, h long")
+    images = spark.createDataFrame([(1, 100, 50)], "file_id long, width int, height int")
+    got = sorted((r["ref_id"], r["rule"]) for r in V.scale_reference_errors(frame, images).collect())
+    assert got == [(2, "not_positive"), (3, "not_positive"), (3, "outside_image"), (4, "outside_image")]
