@@ -1,14 +1,20 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every row is assigned to a leaf.
+The tree is fitted on a bounded sample, which grows with the table until it
+reaches MOST_SAMPLE rows, so that leaves keep their size up to several million
+rows; every row is assigned to a leaf.
 Largest inner products become smallest distances by one more coordinate,
 sqrt(M - |x|^2), with M the largest squared norm. A query goes down the tree
 best bin first, through a priority queue of nodes by distance to their
 centres. How many leaves it visits is calibrated: the visits are widened until
 a bounded set of queries, compared with brute force over all rows, reaches the
-asked recall; a query whose leaves hold too few rows goes on to further ones. Leaves are searched exactly, in blocks of a bounded number of
-rows by a bounded number of queries: a query's first leaves give a score that
-the rest must reach, so that blocks return little, and results are merged.
+asked recall; a query whose leaves hold too few rows goes on to further ones.
+
+Leaves are searched exactly. Neighbouring leaves share a block of a bounded
+number of rows, a large leaf has several; a query goes to each block once, with
+the leaves that it visits there, and blocks meet a bounded number of queries at
+a time. A query's first leaves give a score that the rest must reach, so that
+blocks return little, and results are merged.
 
 Defined results: vectors that are null, empty, zero, of another dimension
 than most, or hold null or non-finite components take no part, nor do rows
@@ -30,8 +36,9 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-#: Rows that the tree is fitted on, at most, and queries of the calibration.
-SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
+#: Rows that the tree is fitted on, for small tables and at most, and queries of
+#: the calibration.
+LEAST_SAMPLE, MOST_SAMPLE, CALIBRATION_QUERIES = 20_000, 200_000, 200
 #: Children of a node; rows of a leaf aimed at; sample rows of a leaf at least.
 BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 400, 12
 #: Rows and queries of a block.
@@ -132,11 +139,13 @@ def fit_tree(sample: np.ndarray, n_rows: int, top: float) -> Tree:
     return Tree(np.array(centres), children, np.array(leaf), top)
 
 
-def best(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray | None = None, able: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, member number and score of the ``k`` best per query, of
-    those that score at least ``least``."""
+    those that score at least ``least`` and are ``able`` (a row a query)."""
     rough = queries @ members.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    if able is not None:
+        rough[~able] = -np.inf
     slack = 1e-9 * (1 + np.abs(members).max(initial=0) * np.abs(queries).max(initial=0) * members.shape[1])
     cut = np.full(len(queries), -np.inf) if least is None else least.copy()
     if rough.shape[1] > k:
@@ -198,7 +207,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     if not n_rows:
         return spark.createDataFrame([], out_schema)
 
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+    size = min(MOST_SAMPLE, max(LEAST_SAMPLE, n_rows * LEAF_SAMPLE // LEAF_ROWS))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(size).toArrow()
     tree = fit_tree(_matrix(sample), n_rows, float(top))
     probe = rows.filter(is_query).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION_QUERIES).toArrow()
     if not probe.num_rows:
@@ -221,44 +231,69 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     def to_visits(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rows_of = counted.value
-        for batch in batches:  # k rows and the query itself
-            seen = [shared.value.visits(q, visits, rows_of, k + 1) for q in _matrix(batch)] if batch.num_rows else []
-            at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]), pa.int64())
-            turn = pa.array([i for s in seen for i in range(len(s))], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x for s in seen for x in s], pa.int64()), batch.column("id").take(at), batch.column("v").take(at), turn], names=["leaf", "id", "v", "turn"])
+        rows_of, first, parts = counted.value
+        for batch in batches:
+            blocks, leaves, owner, turn = [], [], [], []
+            for i, q in enumerate(_matrix(batch) if batch.num_rows else ()):  # k rows and the query itself
+                seen = np.array(shared.value.visits(q, visits, rows_of, k + 1))
+                for late, own in ((False, seen[:FIRST_LEAVES]), (True, seen[FIRST_LEAVES:])):
+                    leaf = np.repeat(own, parts[own])
+                    at = np.repeat(first[own] - (np.cumsum(parts[own]) - parts[own]), parts[own]) + np.arange(len(leaf))
+                    order = np.lexsort((leaf, at))
+                    at, leaf = at[order], leaf[order].astype(np.int32)
+                    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+                    blocks += at[cuts].tolist()
+                    leaves += [part.tobytes() for part in np.split(leaf, cuts[1:])] if len(at) else []
+                    owner += [i] * len(cuts)
+                    turn += [late] * len(cuts)
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), batch.column("id").take(take), batch.column("v").take(take), pa.array(leaves, pa.binary()), pa.array(turn, pa.bool_())], names=["block", "id", "v", "leaves", "late"])
 
     layout = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
     members = written(rows.mapInArrow(to_leaf, layout), "ann-leaves")
     sizes = np.zeros(tree.n_leaves, np.int64)
-    for leaf, n in members.groupBy("leaf").count().collect():  # at most SAMPLE_ROWS
+    for leaf, n in members.groupBy("leaf").count().collect():  # at most MOST_SAMPLE / LEAF_SAMPLE
         sizes[leaf] = n
-    counted = spark.sparkContext.broadcast(sizes)
-    asked = written(rows.filter(is_query).mapInArrow(to_visits, T.StructType([*layout.fields, T.StructField("turn", T.IntegerType())])), "ann-visits")
-    first = asked.filter(F.col("turn") < FIRST_LEAVES).withColumn("least", F.lit(float("-inf")))
-    early = written(_top(_search(members, first, k), k), "ann-early")
+    first, parts = dealt(sizes)
+    counted = spark.sparkContext.broadcast((sizes, first, parts))
+    places = spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(len(sizes))], "leaf long, first long, parts long")
+    members = members.join(F.broadcast(places), "leaf").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "leaf", "id", "v")
+    asked = written(rows.filter(is_query).mapInArrow(to_visits, T.StructType([T.StructField("block", T.LongType()), *layout.fields[1:], T.StructField("leaves", T.BinaryType()), T.StructField("late", T.BooleanType())])), "ann-visits")
+    early = asked.filter(~F.col("late")).withColumn("least", F.lit(float("-inf")))
+    early = written(_top(_search(members, early, k), k), "ann-early")
     least = early.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
-    later = asked.filter(F.col("turn") >= FIRST_LEAVES).join(least, F.col("id") == F.col("query_id"), "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    later = asked.filter("late").join(least, F.col("id") == F.col("query_id"), "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     return _top(early.drop("rank").union(_search(members, later, k)), k).select("query_id", "rank", "vec_id", "score")
 
 
+def dealt(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each leaf and how many it has: small neighbours
+    share one, leaves over BLOCK_ROWS have their own."""
+    parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    first, block, held = np.zeros(len(sizes), np.int64), -1, BLOCK_ROWS
+    for i, (n, own) in enumerate(zip(sizes.tolist(), parts.tolist(), strict=True)):
+        if own > 1 or block < 0 or held + n > BLOCK_ROWS:
+            block, held = block + 1, 0
+        first[i] = block
+        block += own - 1
+        held = BLOCK_ROWS if own > 1 else held + n
+    return first, parts
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _search(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The best of each leaf that each query asks, block by block.
+    """The best of each block that each query asks, of the leaves it visits;
+    a bounded number of queries at a time.
 
-    The tables of counts have a row for each leaf, of which there are at most
-    SAMPLE_ROWS / LEAF_SAMPLE.
+    The table of counts has a row for each block, some BLOCK_ROWS rows.
     """
-    count = lambda df, name, block: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("long").alias(name))
-    blocks = F.broadcast(count(members, "by_rows", BLOCK_ROWS).join(count(asked, "by_queries", BLOCK_QUERIES), "leaf"))
-    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    left = members.join(blocks, "leaf").withColumn("a", part("by_rows")).withColumn("b", F.explode(each("by_queries")))
-    right = asked.join(blocks, "leaf").withColumn("b", part("by_queries")).withColumn("a", F.explode(each("by_rows")))
+    many = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("by_queries"))
+    left = members.join(many, "block").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("by_queries") - 1)))
+    right = asked.join(many, "block").withColumn("b", F.pmod(F.xxhash64("id"), F.col("by_queries")))
 
     def search(own, wanted):
         import pyarrow as pa
@@ -266,11 +301,18 @@ def _search(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         if not own.num_rows or not wanted.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, query_ids = own.column("id").to_numpy(), wanted.column("id").to_numpy()
-        who, what, score = best(_matrix(own), ids, _matrix(wanted), query_ids, k, wanted.column("least").to_numpy())
+        names, leaf = np.unique(own.column("leaf").to_numpy(), return_inverse=True)
+        seen = [np.frombuffer(x, np.int32) for x in wanted.column("leaves").to_pylist()]
+        at = np.searchsorted(names, np.concatenate(seen))
+        at[at == len(names)] = 0
+        visited = np.zeros((len(seen), len(names)), bool)
+        row, want = np.repeat(np.arange(len(seen)), [len(x) for x in seen]), np.concatenate(seen)
+        visited[row[names[at] == want], at[names[at] == want]] = True
+        who, what, score = best(_matrix(own), ids, _matrix(wanted), query_ids, k, wanted.column("least").to_numpy(), visited[:, leaf])
         return pa.table({"query_id": query_ids[who], "vec_id": ids[what], "score": score})
 
-    keys = ["leaf", "a", "b"]
-    return left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "least").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    keys = ["block", "b"]
+    return left.select(*keys, "leaf", "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v", "leaves", "least").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

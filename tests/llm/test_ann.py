@@ -68,3 +68,9 @@ def test_small_leaf_goes_on_to_further_ones(spark):
     got = ann.nearest(frame, F.col("id") % 20 == 0).groupBy("query_id").count().collect()
     assert 1800 in {r["query_id"] for r in got}  # one of the five
     assert len(got) == 91 and {r["count"] for r in got} == {20}
+
+
+def test_blocks_hold_whole_leaves_or_parts_of_one(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    first, parts = ann.dealt(np.array([3, 4, 3, 1, 25, 2, 10, 0, 9]))
+    assert first.tolist() == [0, 0, 0, 1, 2, 5, 6, 6, 7] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1, 1, 1]
