@@ -381,9 +381,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     total = slim.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n_blocks = int(total // BLOCK_BYTES) + 1
     # Rows that repeat are one row with a count: however many there are, a
-    # block holds them once.
-    slim = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int")).repartition("block")
-    slim = slim.groupBy("block", "id", "text").agg(F.count("*").alias("copies"))
+    # block holds them once. Rows that don't are told by their hashes alone.
+    key = F.xxhash64("id", "text")
+    again = written(slim.groupBy(key.alias("key")).count().filter(F.col("count") > 1).select("key"), "ctw-repeated")
+    one = F.lit(1).cast("long").alias("copies")
+    if again.isEmpty():
+        slim = slim.select("id", "text", one)
+    else:
+        keyed = slim.withColumn("key", key)
+        many = keyed.join(again, "key", "left_semi").groupBy("id", "text").agg(F.count("*").alias("copies"))
+        slim = keyed.join(again, "key", "left_anti").select("id", "text", one).unionByName(many)
+    slim = slim.withColumn("block", F.pmod(key, F.lit(n_blocks)).cast("int"))
     n_docs, n_tokens, n_words = model.n_docs, model.n_tokens, model.n_words
 
     def parts(table):
