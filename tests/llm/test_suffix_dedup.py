@@ -95,3 +95,23 @@ def test_many_repeated_rows(spark):
     frame = spark.createDataFrame([(1, own)] * 40 + [(None, shared)] * 9 + [(2, shared + text(500)), (3, text(50))], "doc_id long, text string")
     got = [(r["doc_id"], r["n_bytes"], r["removed_spans"]) for r in sd.suffix_dedup(frame).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [(1, 900, [[0, 900]])] * 40 + [(None, 700, [[0, 700]])] * 9 + [(2, 1200, [[0, 700]]), (3, 50, [])]))
+
+
+@pytest.mark.parametrize("shared", [0, 1, 40])
+def test_token_of_many_buckets(spark, monkeypatch, shared):
+    """In all hash ranges, in all but one or in none, no window occurs again."""
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 500)
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    many = text(200000)
+    at = int(sd.token_hashes(np.frombuffer(many.encode(), np.uint8), 100).argmin())
+    texts = [text(120) + many[at: at + 100] + text(120) for _ in range(80)]
+    # One window of another text, between other bytes.
+    texts += [text(90) + "B" + t[70: 230] + "C" + text(90) for t in texts[:shared]]
+    across = []
+    monkeypatch.setattr(sd, "_across", lambda *a, f=sd._across: across.append(1) or f(*a))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["removed_spans"], bytes(r["kept"])) for r in sd.suffix_dedup(frame, 160).collect()}
+    assert got == dict(enumerate(brute(texts, 160)))
+    assert sum(len(cuts) for cuts, _ in got.values()) == 2 * shared
+    assert across
